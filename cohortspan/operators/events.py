@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import closeness, days_between
+from cohortspan.operators.concepts import concepts_of
 
 
 def events_in(events: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -23,16 +24,16 @@ def events_in(events: DataFrame, concepts: DataFrame) -> DataFrame:
     return events.join(concepts.select("concept_id"), "concept_id", "left_semi")
 
 
-def label_events(events: DataFrame, wanted: DataFrame, barred: DataFrame) -> DataFrame:
-    """Events of either list in one scan, with ``barred`` telling which list they came from.
+def label_events(events: DataFrame, codesets: DataFrame, wanted: int, barred: int) -> DataFrame:
+    """Events of either concept set in one scan, with ``barred`` true for those outside set ``wanted``.
 
-    A concept in both lists yields both rows.
+    A concept in both sets is wanted.
     """
-    labels = wanted.select("concept_id", F.lit(False).alias("barred")).union(
-        barred.select("concept_id", F.lit(True).alias("barred"))
+    either = events_in(events, concepts_of(codesets, wanted, barred))
+    known = concepts_of(codesets, wanted).withColumn("wanted", F.lit(True))
+    return either.join(known, "concept_id", "left").select(
+        "person_id", "concept_id", "event_date", F.col("wanted").isNull().alias("barred")
     )
-    # The semi join is redundant, but only it is moved below whatever ``events`` is derived from.
-    return events_in(events, labels).join(labels, "concept_id")
 
 
 def first_event(events: DataFrame) -> DataFrame:

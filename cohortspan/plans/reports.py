@@ -53,7 +53,7 @@ def _exclusions(codesets: DataFrame, spec: CohortSpec) -> DataFrame:
 
 def _conditions(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
     """Disease diagnoses, and as barred events those of exclusion concepts."""
-    return label_events(cdm.conditions(), concepts_of(codesets, spec.disease), _exclusions(codesets, spec))
+    return label_events(cdm.conditions(), codesets, wanted=spec.disease, barred=spec.other)
 
 
 def _distribution(days: DataFrame, value: str, spec: CohortSpec, by: tuple[str, ...] = ()) -> DataFrame:
