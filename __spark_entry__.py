@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -27,6 +28,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Resolved concept sets per Spark application and folder: like a session table, they are written once
 # and read by every report of the session.
 _staged: dict[tuple[str, str], DataFrame] = {}
+# The clinical tables, which are plain views of the given ones.
+_views: dict[tuple[str, str], Cdm] = {}
+
+
+def _cdm(spark: SparkSession, sf_dir: str) -> Cdm:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _views:
+        _views[key] = sample.sample_cdm(spark, sf_dir)
+    return _views[key]
 
 
 def _resolve(spark: SparkSession, cdm: Cdm, definitions: DataFrame | None = None) -> DataFrame:
@@ -41,12 +51,12 @@ def codesets_for(spark: SparkSession, sf_dir: str, cdm: Cdm) -> DataFrame:
 
 
 def _on_cdm(query: Callable[[SparkSession, Cdm], DataFrame]) -> Query:
-    return lambda spark, sf_dir: query(spark, sample.sample_cdm(spark, sf_dir))
+    return lambda spark, sf_dir: query(spark, _cdm(spark, sf_dir))
 
 
 def _on_sets(query: Callable[[Cdm, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cdm = sample.sample_cdm(spark, sf_dir)
+        cdm = _cdm(spark, sf_dir)
         return query(cdm, codesets_for(spark, sf_dir, cdm))
 
     return run
@@ -113,13 +123,15 @@ def _date_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Both tolerated spellings occur.
     spelled = F.when(F.col("l_linenumber") % 2 == 0, F.date_format(day, "yyyyMMdd")).otherwise(day.cast("string"))
     spelled = lines.select("l_orderkey", "l_linenumber", spelled.alias("event_date"))
-    return _dated(spelled.withColumn("event_date", as_date(spelled, "event_date")), "event_date")
+    return _dated(spelled.withColumn("event_date", as_date("event_date", T.StringType())), "event_date")
 
 
 def _days_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    days = days_between(as_date(orders, "o_orderdate"), as_date(lines, "l_shipdate")).cast("long")
+    ordered = as_date("o_orderdate", orders.schema["o_orderdate"].dataType)
+    shipped = as_date("l_shipdate", lines.schema["l_shipdate"].dataType)
+    days = days_between(ordered, shipped).cast("long")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey", "l_linenumber", days.alias("days")
     )

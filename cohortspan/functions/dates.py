@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def as_date(df: DataFrame, name: str) -> Column:
-    """Column ``name`` of ``df`` as a date.
+def as_date(name: str, kind: T.DataType) -> Column:
+    """Column ``name``, which is of type ``kind``, as a date.
 
     A date column is passed through untouched, so filters on it still reach the Parquet scan.
     Timestamps lose their time of day. Text may be anything Spark casts to a date or ``yyyyMMdd``;
     under ANSI mode other text is an error, as a silently dropped event would falsify a report.
     """
-    kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
         return F.col(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

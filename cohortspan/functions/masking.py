@@ -1,16 +1,13 @@
-"""Suppression of small cells."""
+"""Suppression of small cells, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def mask_count(count: Column, min_count: int) -> Column:
+def mask_count(count: str, min_count: int) -> str:
     """``count``, or the marker ``-min_count`` when fewer than ``min_count`` persons stand behind it."""
-    return F.when(count < min_count, F.lit(-min_count).cast("long")).otherwise(count)
+    return f"if({count} < {min_count}, -{min_count}L, {count})"
 
 
-def mask_value(value: Column, count: Column, min_count: int) -> Column:
+def mask_value(value: str, count: str, min_count: int) -> str:
     """``value``, or NULL when fewer than ``min_count`` persons stand behind it."""
-    return F.when(count >= min_count, value)
+    return f"if({count} < {min_count}, NULL, {value})"

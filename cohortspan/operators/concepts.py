@@ -59,7 +59,7 @@ def resolve(definitions: DataFrame, concept: DataFrame, concept_ancestor: DataFr
 
 def concepts_of(codesets: DataFrame, *codeset_ids: int) -> DataFrame:
     """``concept_id`` of one set, or of several sets taken together (once per set)."""
-    return codesets.where(F.col("codeset_id").isin(*codeset_ids)).select("concept_id")
+    return codesets.where(f"codeset_id IN ({', '.join(map(str, codeset_ids))})").select("concept_id")
 
 
 def difference(codesets: DataFrame, keep: int, minus: int) -> DataFrame:

@@ -31,23 +31,20 @@ def label_events(events: DataFrame, codesets: DataFrame, wanted: int, barred: in
     """
     either = events_in(events, concepts_of(codesets, wanted, barred))
     known = concepts_of(codesets, wanted).withColumn("wanted", F.lit(True))
-    return either.join(known, "concept_id", "left").select(
-        "person_id", "concept_id", "event_date", F.col("wanted").isNull().alias("barred")
+    return either.join(known, "concept_id", "left").selectExpr(
+        "person_id", "concept_id", "event_date", "wanted IS NULL AS barred"
     )
 
 
 def first_event(events: DataFrame) -> DataFrame:
     """Index date of each person: the earliest event. Persons without a dated event have none."""
-    return (
-        events.where(F.col("event_date").isNotNull())
-        .groupBy("person_id")
-        .agg(F.min("event_date").alias("index_date"))
-    )
+    dated = events.where("event_date IS NOT NULL")
+    return dated.groupBy("person_id").agg(F.min("event_date").alias("index_date"))
 
 
 def _spans(index: DataFrame, dated: DataFrame) -> DataFrame:
-    spans = dated.join(index, "person_id")
-    return spans.withColumn("days", days_between(F.col("index_date"), F.col("event_date")))
+    days = days_between(F.col("index_date"), F.col("event_date"))
+    return dated.join(index, "person_id").withColumn("days", days)
 
 
 def _nearest(eligible: Column | None = None) -> Column:
@@ -61,33 +58,33 @@ def nearest_event(index: DataFrame, events: DataFrame, by: Sequence[str] = ()) -
     Of two events equally far away, the one before the index date wins.
     """
     keys = ["person_id", *by]
-    dated = events.where(F.col("event_date").isNotNull()).select(*keys, "event_date").distinct()
+    dated = events.where("event_date IS NOT NULL").select(*keys, "event_date").distinct()
     return _spans(index, dated).groupBy(*keys).agg(_nearest())
 
 
 def nearest_event_unless_barred(index: DataFrame, labelled: DataFrame) -> DataFrame:
     """``nearest_event`` per person, leaving out persons with any barred event at any date."""
-    barred = F.col("barred")
-    dated = labelled.select("person_id", "barred", F.when(~barred, F.col("event_date")).alias("event_date")).distinct()
+    # A barred event matters only by its presence, so its date goes and the rows collapse.
+    dated = labelled.selectExpr("person_id", "barred", "if(barred, NULL, event_date) AS event_date").distinct()
     return (
         _spans(index, dated)
         .groupBy("person_id")
-        .agg(_nearest(~barred), F.bool_or(barred).alias("barred"))
-        .where(~barred & F.col("days").isNotNull())
+        .agg(_nearest(~F.col("barred")), F.bool_or("barred").alias("barred"))
+        .where("NOT barred AND days IS NOT NULL")
         .select("person_id", "days")
     )
 
 
 def nearest_barred_event(index: DataFrame, labelled: DataFrame) -> DataFrame:
     """``nearest_event`` per person and barred concept, for persons who have a wanted event too."""
-    barred = F.col("barred")
+    # Wanted events matter only by their presence.
     dated = (
-        labelled.where(~barred | F.col("event_date").isNotNull())
-        .select(
+        labelled.where("NOT barred OR event_date IS NOT NULL")
+        .selectExpr(
             "person_id",
             "barred",
-            F.when(barred, F.col("concept_id")).alias("concept_id"),
-            F.when(barred, F.col("event_date")).alias("event_date"),
+            "if(barred, concept_id, NULL) AS concept_id",
+            "if(barred, event_date, NULL) AS event_date",
         )
         .distinct()
     )
@@ -95,17 +92,28 @@ def nearest_barred_event(index: DataFrame, labelled: DataFrame) -> DataFrame:
     return barred_rows_of_wanted(nearest)
 
 
+def count_barred_events(index: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Number of events per person and barred concept, for persons who have a wanted event too."""
+    counted = (
+        labelled.selectExpr("person_id", "barred", "if(barred, concept_id, NULL) AS concept_id")
+        .groupBy("person_id", "barred", "concept_id")
+        .agg(F.count(F.lit(1)).alias("n_events"))
+    )
+    return barred_rows_of_wanted(counted.join(index, "person_id", "left_semi"))
+
+
 def barred_rows_of_wanted(rows: DataFrame) -> DataFrame:
     """Barred rows of persons who have a row that is not barred."""
-    wanted = F.bool_or(~F.col("barred")).over(Window.partitionBy("person_id"))
-    return rows.withColumn("wanted", wanted).where(F.col("barred") & F.col("wanted")).drop("barred", "wanted")
+    return (
+        rows.selectExpr("*", "bool_or(NOT barred) OVER (PARTITION BY person_id) AS wanted")
+        .where("barred AND wanted")
+        .drop("barred", "wanted")
+    )
 
 
 def wanted_never_barred(labelled: DataFrame) -> DataFrame:
     """``person_id`` of those with a wanted event and no barred one, whatever the dates."""
-    return (
-        labelled.groupBy("person_id").agg(F.bool_or("barred").alias("barred")).where(~F.col("barred")).select("person_id")
-    )
+    return labelled.groupBy("person_id").agg(F.bool_or("barred").alias("barred")).where("NOT barred").select("person_id")
 
 
 def persons(events: DataFrame) -> DataFrame:
@@ -130,7 +138,7 @@ def require(index: DataFrame, events: DataFrame) -> DataFrame:
 def _on_or_after(index: DataFrame, events: DataFrame) -> DataFrame:
     # The comparison drops rows without a date.
     dated = events.select("person_id", "event_date").distinct()
-    return dated.join(index, "person_id").where(F.col("event_date") >= F.col("index_date"))
+    return dated.join(index, "person_id").where("event_date >= index_date")
 
 
 def days_on_or_after(index: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions.masking import mask_count, mask_value
@@ -40,32 +40,23 @@ def masked_distribution(
     Ranks come from cumulated counts of the distinct values. Days are few (a date has under four
     million values), so the window sees one small row per day, whatever the number of persons.
     """
-    histogram = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("copies"))
-    group = Window.partitionBy(*by)
-    up_to_here = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.select(
+    histogram = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.expr("count(1) AS copies"))
+    group = f"PARTITION BY {', '.join(by)}" if by else ""
+    ranked = histogram.selectExpr(
         *by,
-        value,
-        F.sum("copies").over(up_to_here).alias("reached"),
-        F.sum("copies").over(group).alias("total"),
+        f"{value} AS v",
+        f"sum(copies) OVER ({group} ORDER BY {value} ROWS UNBOUNDED PRECEDING) AS reached",
+        f"sum(copies) OVER ({group}) AS total",
     )
-    total = F.col("total")
 
-    def quantile(p: Decimal) -> Column:
-        threshold = F.lit(p) * total
-        exact = F.min(F.when(F.col("reached") >= threshold, F.col(value)))
-        if saturate is None:
-            return exact
-        return F.when(threshold > 1, F.least(exact, F.lit(saturate).cast("long"))).otherwise(exact)
+    def quantile(p: Decimal) -> str:
+        exact = f"min(if(reached >= {p} * total, v, NULL))"
+        return exact if saturate is None else f"if({p} * total > 1, least({exact}, {saturate}L), {exact})"
 
-    statistics = {
-        f"min_{value}": F.min(value),
-        **{f"{name}_{value}": quantile(p) for name, p in quantiles.items()},
-        f"max_{value}": F.max(value),
-    }
-    return ranked.groupBy("total", *by).agg(
-        *[mask_value(column, total, min_count).alias(name) for name, column in statistics.items()]
-    ).select(mask_count(total, min_count).alias("n"), *by, *statistics)
+    statistics = {"min": "min(v)", **{name: quantile(p) for name, p in quantiles.items()}, "max": "max(v)"}
+    masked = [F.expr(f"{mask_value(x, 'total', min_count)} AS {name}_{value}") for name, x in statistics.items()]
+    found = ranked.groupBy("total", *by).agg(*masked)
+    return found.selectExpr(f"{mask_count('total', min_count)} AS n", *[c for c in found.columns if c != "total"])
 
 
 def masked_counts(
@@ -79,11 +70,9 @@ def masked_counts(
     ``occurrences`` holds one row per person and ``by``, with ``n_events``. Below ``min_count`` the
     count of persons is ``-min_count`` and the threshold counts are NULL.
     """
-    repeated = {
-        "excluded_patient_count_multiple" + (f"_{k}" if k > 1 else ""): F.count_if(F.col("n_events") > k)
-        for k in thresholds
-    }
-    return occurrences.groupBy(*by).agg(
-        mask_count(F.count(F.lit(1)), min_count).alias("excluded_patient_count"),
-        *[mask_value(count, count, min_count).alias(name) for name, count in repeated.items()],
-    )
+    counts = [f"{mask_count('count(1)', min_count)} AS excluded_patient_count"]
+    for k in thresholds:
+        repeated = f"count_if(n_events > {k})"
+        suffix = f"_{k}" if k > 1 else ""
+        counts.append(f"{mask_value(repeated, repeated, min_count)} AS excluded_patient_count_multiple{suffix}")
+    return occurrences.groupBy(*by).agg(*map(F.expr, counts))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.operators.concepts import concepts_of, difference, with_names
 from cohortspan.operators.events import (
-    barred_rows_of_wanted,
+    count_barred_events,
     days_to_first,
     events_in,
     first_event,
@@ -80,14 +80,7 @@ def exclusion_counts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFra
 
     Ordered by the reported count, so suppressed concepts come last.
     """
-    barred = F.col("barred")
-    counted = (
-        _conditions(cdm, codesets, spec)
-        .groupBy("person_id", "barred", F.when(barred, F.col("concept_id")).alias("concept_id"))
-        .agg(F.count(F.lit(1)).alias("n_events"))
-    )
-    cohort = _index(cdm, codesets, spec).select("person_id")
-    members = barred_rows_of_wanted(counted.join(cohort, "person_id", "left_semi"))
+    members = count_barred_events(_index(cdm, codesets, spec), _conditions(cdm, codesets, spec))
     counts = masked_counts(members, min_count=spec.min_count)
     return (
         with_names(counts, cdm.concept, _exclusions(codesets, spec))

@@ -30,10 +30,9 @@ def _require(table: str, df: DataFrame, columns: tuple[str, ...]) -> None:
         raise ValueError(f"table {table} lacks {', '.join(missing)}")
 
 
-def _as_long(df: DataFrame, name: str) -> Column:
+def _as_long(name: str, kind: T.DataType) -> Column:
     # A cast that changes nothing is left out: it would keep filters from reaching the scan.
-    is_long = isinstance(df.schema[name].dataType, T.LongType)
-    return F.col(name) if is_long else F.col(name).cast("long")
+    return F.col(name) if isinstance(kind, T.LongType) else F.col(name).cast("long")
 
 
 @dataclass(frozen=True)
@@ -90,11 +89,12 @@ class Cdm:
     def _events(self, table: str) -> DataFrame:
         df = getattr(self, table)
         concept, date = EVENT_TABLES[table]
+        kind = {field.name.lower(): field.dataType for field in df.schema}
         return df.select(
-            _as_long(df, "person_id").alias("person_id"),
-            _as_long(df, concept).alias("concept_id"),
-            as_date(df, date).alias("event_date"),
-        ).where(F.col("person_id").isNotNull())
+            _as_long("person_id", kind["person_id"]).alias("person_id"),
+            _as_long(concept, kind[concept]).alias("concept_id"),
+            as_date(date, kind[date]).alias("event_date"),
+        ).where("person_id IS NOT NULL")
 
     # The three event tables in one shape: person_id, concept_id, event_date. An event of no person
     # counts for nobody. Dates are left as they are: operators that need one drop rows without.
