@@ -1,0 +1,113 @@
+"""Reports on small made-up cohorts against plain Python."""
+
+import random
+
+import pytest
+
+from cohortspan.plans.reports import REPORTS, CohortSpec, run_all
+from tests.brute import Cohort
+from tests.helpers import day, make_cdm, make_codesets
+
+SETS = {6: {1, 2}, 11: {31, 32}, 12: {11, 12, 13}, 13: {12, 21, 22, 23, 24}, 15: {14, 21}}
+NAMES = {c: f"concept {c}" for c in (11, 12, 13, 14, 21, 22, 24)}
+
+
+def made_up(seed, persons=120, hot=None):
+    """Random events over all sets; person ``hot`` gets a third of all rows."""
+    rng = random.Random(seed)
+
+    def events(concepts, rate, extra):
+        rows = [
+            (p, rng.choice(concepts), day(rng.randint(-400, 400) * rng.choice([1, 1, 1, 40])))
+            for p in range(persons)
+            for _ in range(rng.randint(0, rate))
+        ]
+        if hot is not None:
+            rows += [(hot, rng.choice(concepts), day(rng.randint(-30, 30))) for _ in range(extra)]
+        return rows
+
+    return (
+        events([1, 2, 3, 4], 2, 100),
+        events([11, 12, 13, 14, 21, 22, 23, 24, 90, 91, 92, 93], 3, 150),
+        events([31, 32, 33], 3, 150),
+    )
+
+
+def check(spark, data, spec, cdm=None):
+    measurements, conditions, drugs = data
+    cdm = cdm or make_cdm(spark, measurements, conditions, drugs, NAMES)
+    codesets = make_codesets(spark, SETS)
+    truth = Cohort(measurements, conditions, drugs, SETS, spec.disease)
+    limits = {"min_count": spec.min_count, "saturate": spec.saturate}
+    expected = {
+        "days_to_diagnosis": truth.days_to_diagnosis(**limits),
+        "days_to_diagnosis_clean": truth.days_to_diagnosis_clean(**limits),
+        "exclusion_counts": truth.exclusion_counts(NAMES, spec.min_count),
+        "exclusion_days": truth.exclusion_days(NAMES, **limits),
+        "time_to_treatment": truth.time_to_treatment(**limits),
+    }
+    for name, report in REPORTS.items():
+        rows = [tuple(r) for r in report(cdm, codesets, spec).collect()]
+        assert len(rows) == len(set(rows))
+        assert set(rows) == expected[name], name
+    return expected
+
+
+@pytest.mark.parametrize(
+    "seed, spec, hot",
+    [
+        (1, CohortSpec(disease=12), None),
+        (2, CohortSpec(disease=15), 7),
+        (3, CohortSpec(disease=12, min_count=1, saturate=None), 8),
+        (4, CohortSpec(disease=12, min_count=2, saturate=100), None),
+    ],
+)
+def test_against_brute_force(spark, seed, spec, hot):
+    expected = check(spark, made_up(seed, hot=hot), spec)
+    assert all(expected.values())
+
+
+def test_large_concept_sets_are_not_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, made_up(5), CohortSpec(disease=12))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_empty_cohort_gives_no_rows(spark):
+    expected = check(spark, ([], [(1, 11, day(0))], []), CohortSpec(disease=12))
+    assert not any(expected.values())
+
+
+def test_counts_are_ordered_by_reported_count(spark):
+    measurements, conditions, drugs = made_up(6)
+    cdm = make_cdm(spark, measurements, conditions, drugs, NAMES)
+    spec = CohortSpec(disease=12, min_count=6)
+    counts = [r[1] for r in REPORTS["exclusion_counts"](cdm, make_codesets(spark, SETS), spec).collect()]
+    assert counts == sorted(counts, reverse=True)
+    assert counts[-1] == -6
+
+
+def test_run_all_equals_single_reports(spark):
+    measurements, conditions, drugs = made_up(7)
+    cdm = make_cdm(spark, measurements, conditions, drugs, NAMES)
+    codesets = make_codesets(spark, SETS)
+    specs = {"a": CohortSpec(disease=12), "b": CohortSpec(disease=15)}
+    suite = run_all(cdm, codesets, specs)
+    assert len(suite) == 10
+    for disease, spec in specs.items():
+        for name, report in REPORTS.items():
+            found = suite[f"{disease}_{name}"].collect()
+            assert set(found) == set(report(cdm, codesets, spec).collect())
+
+
+def test_repeated_runs_agree(spark):
+    data = made_up(8, hot=3)
+    cdm = make_cdm(spark, *data, NAMES)
+    codesets = make_codesets(spark, SETS)
+    spec = CohortSpec(disease=12)
+    for report in REPORTS.values():
+        first = report(cdm, codesets, spec).collect()
+        shuffled = make_cdm(spark, *[random.Random(1).sample(rows, len(rows)) for rows in data], NAMES)
+        assert sorted(map(repr, first)) == sorted(map(repr, report(shuffled, codesets, spec).collect()))
