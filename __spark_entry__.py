@@ -172,13 +172,8 @@ def _narrowed(cdm: Cdm, sets: DataFrame) -> DataFrame:
 
 
 def _suite(cdm: Cdm, sets: DataFrame) -> DataFrame:
-    reports = run_all(cdm, sets, SPECS)
-    same_shape = [
-        reports[name].select(F.lit(name).alias("report"), "*")
-        for disease in SPECS
-        for name in (f"{disease}_days_to_diagnosis", f"{disease}_days_to_diagnosis_clean")
-    ]
-    return reduce(DataFrame.unionByName, same_shape)
+    reports = run_all(cdm, sets, SPECS, names=["days_to_diagnosis", "days_to_diagnosis_clean"])
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("report"), "*") for name, df in reports.items()])
 
 
 def entry(spark: SparkSession) -> DataFrame:
