@@ -88,8 +88,8 @@ def nearest_barred_event(index: DataFrame, labelled: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    nearest = _spans(index, dated).groupBy("person_id", "barred", "concept_id").agg(_nearest())
-    return barred_rows_of_wanted(nearest)
+    # Asked right after the join, while rows are still sorted by person.
+    return barred_rows_of_wanted(_spans(index, dated)).groupBy("person_id", "concept_id").agg(_nearest())
 
 
 def count_barred_events(index: DataFrame, labelled: DataFrame) -> DataFrame:
