@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from functools import reduce
@@ -20,6 +21,11 @@ from cohortspan.plans.reports import REPORTS, CohortSpec, run_all  # noqa: E402
 from cohortspan.sources import sample  # noqa: E402
 from cohortspan.sources.cdm import Cdm  # noqa: E402
 
+# The operators on documents and pages are a part of their own, which may be left out.
+llm = None
+if importlib.util.find_spec("cohortspan.llm"):
+    from cohortspan.llm import queries as llm
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 SPECS = {"disease_a": CohortSpec(disease=sample.DISEASE_A), "disease_b": CohortSpec(disease=sample.DISEASE_B)}
 
@@ -247,8 +253,8 @@ def queries() -> dict[str, Query]:
     for disease, spec in SPECS.items():
         for number, name in enumerate(REPORTS, start=1):
             found[f"r{number}_{name}_{disease}"] = _report(name, spec)
-    return found
+    return found | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    return oracles.statements() | (llm.ORACLES if llm else {})
