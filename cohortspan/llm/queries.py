@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import fingerprints, languages, url_filter
+from cohortspan.llm import decontamination, fingerprints, languages, url_filter
 from cohortspan.llm.common import in_split, ship_code
 
 URL_RULES = (
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_fingerprints": op4_fingerprints,
     "op5_language": op5_language,
     "op10_url_filter": op10_url_filter,
@@ -95,4 +100,34 @@ SELECT page_id, host, path, hit.rule AS rule,
 FROM ruled
 """
 
-ORACLES: dict[str, str] = {"op10_url_filter": _OP10_SQL}
+_WORDS_SQL = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP3_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL.format(text="text")}, []) AS w FROM documents
+), b AS (
+    SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {_WORDS_SQL.format(text="text")} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM b)
+), grams AS (
+    SELECT r, p, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase
+    FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), found AS (
+    SELECT r, p, grams.k AS k, item_id FROM grams JOIN windows ON grams.phrase = windows.phrase AND grams.k = windows.k
+), hits AS (
+    SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM found)) GROUP BY r
+), listed AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": _OP3_SQL,
+    "op10_url_filter": _OP10_SQL,
+}
