@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import decontamination, fingerprints, languages, url_filter
+from cohortspan.llm import decontamination, fingerprints, languages, quality, toxicity, url_filter
 from cohortspan.llm.common import in_split, ship_code
 
 URL_RULES = (
@@ -38,6 +38,20 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = in_split("doc_id", 5, 0)
+    model = quality.learn(docs, labels.where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = in_split("doc_id", 5, 0)
+    model = toxicity.learn(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -46,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_fingerprints": op4_fingerprints,
     "op5_language": op5_language,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
