@@ -123,8 +123,8 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
             whole = np.array([b - a], np.uint64)
-            for h in hashes[a:b]:
-                whole = mixed(whole + h * _ODD)
+            for i in range(a, b):
+                whole = mixed(whole + hashes[i : i + 1] * _ODD)
             out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import decontamination, fingerprints, html_text, languages, quality, token_files, toxicity, url_filter
+from cohortspan.llm import decontamination, fingerprints, html_text, languages, near_duplicates, quality, token_files, toxicity, url_filter
 from cohortspan.llm.common import in_split, ship_code
 
 URL_RULES = (
@@ -27,6 +27,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_decontamination": op3_decontamination,
     "op4_fingerprints": op4_fingerprints,
     "op5_language": op5_language,
@@ -153,7 +158,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
 """
 
+_OP2_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS shingle
+    FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+    GROUP BY a, b HAVING 100 * count(*) >= 85 * (min(nx.n) + min(ny.n) - count(*))
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": _OP2_SQL,
     "op3_decontamination": _OP3_SQL,
     "op10_url_filter": _OP10_SQL,
 }
