@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import decontamination, fingerprints, html_text, languages, near_duplicates, quality, token_files, toxicity, url_filter
+from cohortspan.llm import decontamination, fingerprints, html_text, languages, near_duplicates, quality, sentence_pieces, token_files, toxicity, url_filter
 from cohortspan.llm.common import in_split, ship_code
 
 URL_RULES = (
@@ -60,6 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(sentence_pieces.encode(_table(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, token_files.write_tokens(_table(spark, sf_dir, "documents")))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
 }
