@@ -22,8 +22,9 @@ from cohortspan.sources import sample  # noqa: E402
 from cohortspan.sources.cdm import Cdm  # noqa: E402
 
 # The operators on documents and pages are a part of their own, which may be left out.
-llm = None
-if importlib.util.find_spec("cohortspan.llm"):
+llm = corpus_pipeline = None
+if importlib.util.find_spec("cohortspan.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
     from cohortspan.llm import queries as llm
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -253,7 +254,7 @@ def queries() -> dict[str, Query]:
     for disease, spec in SPECS.items():
         for number, name in enumerate(REPORTS, start=1):
             found[f"r{number}_{name}_{disease}"] = _report(name, spec)
-    return found | (llm.QUERIES if llm else {})
+    return found | (llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
