@@ -157,6 +157,11 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = 3, span: i
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """``judged`` without the key of the text."""
+    return judged(docs, items, window, share).drop("text_key")
+
+
+def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256 and whether it is contaminated.
 
     A hit word lies in an occurrence of a window; contaminated is a document of whose words one in ``share`` or
@@ -175,12 +180,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     )
     listed = found.select("doc_id", "text_key", F.col("item_id").cast("string").alias("item")).distinct()
     listed = listed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    judged = hits.join(listed, _same(hits, listed)).select(hits["doc_id"].alias("d"), hits["text_key"].alias("k"), "n_hit", "items")
+    matched = hits.join(listed, _same(hits, listed)).select(hits["doc_id"].alias("d"), hits["text_key"].alias("k"), "n_hit", "items")
     every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).alias("n_words"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return every.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select(
+    return every.join(matched, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select(
         "doc_id",
+        "text_key",
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.cast("long").alias("n_hit"),
         F.size(items_found).cast("long").alias("n_items"),

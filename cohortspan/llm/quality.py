@@ -145,6 +145,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     return fit(p, u, prior) if len(p) and len(u) else None
 
 
+def is_good(model: QualityModel, texts: list[str | None], threshold: float = THRESHOLD) -> list[bool]:
+    return (model(np.array([figures(t) for t in texts], float).reshape(-1, FIGURES)) >= threshold).tolist()
+
+
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted of every row. Null and empty texts look like nothing and are scored as such.
 
