@@ -19,7 +19,9 @@ from cohortspan.functions.dates import as_date, days_between  # noqa: E402
 from cohortspan.operators import concepts, events, stats  # noqa: E402
 from cohortspan.plans.reports import REPORTS, CohortSpec, run_all  # noqa: E402
 from cohortspan.sources import sample  # noqa: E402
-from cohortspan.sources.cdm import Cdm  # noqa: E402
+from cohortspan.sources.cdm import EVENT_TABLES, Cdm  # noqa: E402
+from cohortspan.sources.definitions import read_definitions  # noqa: E402
+from cohortspan.sources.staging import session_dir  # noqa: E402
 
 # The operators on documents and pages are a part of their own, which may be left out.
 llm = corpus_pipeline = None
@@ -105,13 +107,37 @@ def _sets_shallow(spark: SparkSession, cdm: Cdm) -> DataFrame:
 
 
 def _sets_view(cdm: Cdm, sets: DataFrame) -> DataFrame:
-    concepts.stage_codesets(sets, view="codesets")
+    # The sets are staged already; a view of them writes nothing.
+    sets.createOrReplaceTempView("codesets")
     return sets.sparkSession.sql(
         "SELECT codeset_id, count(*) AS n_concepts, min(concept_id) AS lowest, max(concept_id) AS highest "
         "FROM codesets GROUP BY codeset_id"
     )
 
 
+def _definitions_from_file(spark: SparkSession, cdm: Cdm) -> DataFrame:
+    path = f"{session_dir(spark)}/definitions.csv"
+    sample.definitions(spark).write.mode("overwrite").option("header", True).csv(path)
+    return _resolve(spark, cdm, read_definitions(spark, path))
+
+
+def _catalog_tables(spark: SparkSession, cdm: Cdm) -> DataFrame:
+    # Views of a schema are found by the same path as tables, and write nothing.
+    for name in (*EVENT_TABLES, "concept", "concept_ancestor"):
+        getattr(cdm, name).createOrReplaceGlobalTempView(name)
+    return _event_counts(Cdm.from_catalog(spark, spark.conf.get("spark.sql.globalTempDatabase", "global_temp")))
+
+
+def _saved_sets(cdm: Cdm, sets: DataFrame) -> DataFrame:
+    path = f"{session_dir(sets.sparkSession)}/saved-codesets"
+    return concepts.save_codesets(sets, "cohortspan_codesets", path)
+
+
+def _ordered(report: DataFrame) -> DataFrame:
+    """The rows of a report with their place in it."""
+    return report.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def _everyone(cdm: Cdm) -> DataFrame:
     return events.first_event(cdm.measurements())
 
@@ -166,12 +192,11 @@ def _per_concept(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def _narrowed(cdm: Cdm, sets: DataFrame) -> DataFrame:
-    narrow = cdm.narrowed(sets)
-    tables = {
-        "measurement": narrow.measurements(),
-        "condition_occurrence": narrow.conditions(),
-        "drug_exposure": narrow.drugs(),
-    }
+    return _event_counts(cdm.narrowed(sets))
+
+
+def _event_counts(cdm: Cdm) -> DataFrame:
+    tables = {"measurement": cdm.measurements(), "condition_occurrence": cdm.conditions(), "drug_exposure": cdm.drugs()}
     counted = [
         _per_concept(rows, "concept_id").select(F.lit(name).alias("event_table"), "*") for name, rows in tables.items()
     ]
@@ -250,10 +275,16 @@ def queries() -> dict[str, Query]:
         "concept_name_lookup": _on_sets(_names),
         "narrowed_events": _on_sets(_narrowed),
         "report_suite": _on_sets(_suite),
+        "definitions_from_file": _on_cdm(_definitions_from_file),
+        "catalog_tables": _on_cdm(_catalog_tables),
+        "saved_codesets": _on_sets(_saved_sets),
     }
     for disease, spec in SPECS.items():
         for number, name in enumerate(REPORTS, start=1):
             found[f"r{number}_{name}_{disease}"] = _report(name, spec)
+        found[f"r3_exclusion_counts_ordered_{disease}"] = _on_sets(
+            lambda cdm, sets, spec=spec: _ordered(REPORTS["exclusion_counts"](cdm, sets, spec))
+        )
     return found | (llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {})
 
 

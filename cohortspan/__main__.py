@@ -2,6 +2,8 @@
 
     spark-submit --conf spark.checkpoint.dir=<shared folder> cohortspan/__main__.py \\
         --cdm-schema clinic --vocabulary-schema vocabulary --nsclc nsclc.csv --output <folder>
+
+Without ``--nsclc`` and ``--definitions`` there is no concept set 12, and the reports on it are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import SparkSession
 from cohortspan.operators.concepts import resolve, stage_codesets
 from cohortspan.plans.reports import BLADDER, NSCLC, run_all
 from cohortspan.sources.cdm import Cdm
-from cohortspan.sources.definitions import read_definitions, standard_definitions
+from cohortspan.sources.definitions import read_concepts, read_definitions, standard_definitions
+from cohortspan.sources.staging import drop_staged
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -23,7 +26,7 @@ def main(arguments: list[str] | None = None) -> None:
     tables.add_argument("--cdm-path", help="folder with one Parquet table per name")
     parser.add_argument("--vocabulary-schema", help="catalog schema of the vocabulary, if another")
     parser.add_argument("--vocabulary-path", help="folder of the vocabulary, if another")
-    sets = parser.add_mutually_exclusive_group(required=True)
+    sets = parser.add_mutually_exclusive_group()
     sets.add_argument("--nsclc", help="CSV with column concept_id: set 12; the other sets are built in")
     sets.add_argument("--definitions", help="CSV with all concept-set definitions")
     parser.add_argument("--output", required=True, help="folder for the results; must not hold them yet")
@@ -37,11 +40,15 @@ def main(arguments: list[str] | None = None) -> None:
     if options.definitions:
         definitions = read_definitions(spark, options.definitions)
     else:
-        nsclc = spark.read.schema("concept_id long").option("header", True).csv(options.nsclc)
-        definitions = standard_definitions(spark, nsclc)
+        definitions = standard_definitions(spark, read_concepts(spark, options.nsclc) if options.nsclc else None)
     codesets = stage_codesets(resolve(definitions, cdm.vocabulary(), cdm.concept_ancestor))
-    for name, report in run_all(cdm, codesets, {"nsclc": NSCLC, "bladder": BLADDER}).items():
+    specs = {"nsclc": NSCLC, "bladder": BLADDER}
+    if not (options.nsclc or options.definitions):
+        print("no --nsclc: the reports on concept set 12 are left out")
+        del specs["nsclc"]
+    for name, report in run_all(cdm, codesets, specs).items():
         report.write.option("header", True).csv(f"{options.output}/{name}")
+    drop_staged(spark)
 
 
 if __name__ == "__main__":

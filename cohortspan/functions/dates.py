@@ -6,20 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Year, month and day with separators, and possibly a time of day behind; or eight digits.
+_SEPARATED = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ].*)?\s*$"
+_DIGITS = r"^\s*[0-9]{8}\s*$"
+
+
+def or_error(value: Column, source: Column, what: str) -> Column:
+    """``value``, which must not be null where ``source`` is something: an error in every SQL mode."""
+    message = F.concat(F.lit(f"no {what}: "), source.cast("string"))
+    return F.when(value.isNull() & source.isNotNull(), F.raise_error(message)).otherwise(value)
+
 
 def as_date(name: str, kind: T.DataType) -> Column:
     """Column ``name``, which is of type ``kind``, as a date.
 
     A date column is passed through untouched, so filters on it still reach the Parquet scan.
-    Timestamps lose their time of day. Text may be anything Spark casts to a date or ``yyyyMMdd``;
-    under ANSI mode other text is an error, as a silently dropped event would falsify a report.
+    Timestamps lose their time of day. Text must be year-month-day, with or without a time of day, or
+    ``yyyyMMdd``; other text is an error, as an event dropped or moved to another day would falsify a report.
     """
     if isinstance(kind, T.DateType):
         return F.col(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.col(name).cast("date")
     text = F.col(name).cast("string")
-    return F.coalesce(text.try_cast("date"), F.to_date(text, "yyyyMMdd"))
+    written = F.when(text.rlike(_SEPARATED), text.try_cast("date")).when(
+        text.rlike(_DIGITS), F.try_to_date(F.trim(text), "yyyyMMdd")
+    )
+    return or_error(written, text, "date")
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspan.sources.definitions import checked
 from cohortspan.sources.staging import stage
 
 
@@ -28,8 +29,9 @@ def resolve(definitions: DataFrame, concept: DataFrame, concept_ancestor: DataFr
 
     Concepts unknown to ``concept`` never count. Descendants count while valid (``invalid_reason`` is
     NULL); concepts listed by name count either way. That holds for both sides of a set, so an
-    invalid descendant of an excluded concept stays if it is listed for inclusion.
+    invalid descendant of an excluded concept stays if it is listed for inclusion. Gaps in definitions are errors.
     """
+    definitions = checked(definitions)
     listed = definitions.select("codeset_id", "concept_id", "is_excluded", F.lit(False).alias("by_descent"))
     reached = descendants(definitions, concept_ancestor).withColumn("by_descent", F.lit(True))
 
@@ -59,6 +61,8 @@ def resolve(definitions: DataFrame, concept: DataFrame, concept_ancestor: DataFr
 
 def concepts_of(codesets: DataFrame, *codeset_ids: int) -> DataFrame:
     """``concept_id`` of one set, or of several sets taken together (once per set)."""
+    if not codeset_ids:
+        raise ValueError("no concept set named")
     return codesets.where(f"codeset_id IN ({', '.join(map(str, codeset_ids))})").select("concept_id")
 
 
@@ -87,7 +91,12 @@ def stage_codesets(codesets: DataFrame, view: str | None = None) -> DataFrame:
     return staged
 
 
-def save_codesets(codesets: DataFrame, table: str) -> DataFrame:
-    """Write resolved sets to a catalog table that outlives the session, replacing it."""
-    codesets.write.mode("overwrite").saveAsTable(table)
+def save_codesets(codesets: DataFrame, table: str, path: str | None = None) -> DataFrame:
+    """Write resolved sets to a catalog table that outlives the session, replacing it.
+
+    ``path`` is where its files go, if not to the warehouse. The sets are written out before the table is
+    replaced, so they may come from the table itself.
+    """
+    writer = stage(codesets, "codesets").write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return codesets.sparkSession.table(table)

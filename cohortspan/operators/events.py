@@ -88,22 +88,30 @@ def nearest_barred_event(index: DataFrame, labelled: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    # Asked right after the join, while rows are still sorted by person.
-    return barred_rows_of_wanted(_spans(index, dated)).groupBy("person_id", "concept_id").agg(_nearest())
+    # Reduced to a row per concept before a person's rows are asked for a wanted one.
+    nearest = _spans(index, dated).groupBy("person_id", "barred", "concept_id").agg(_nearest())
+    return barred_rows_of_wanted(nearest)
 
 
 def count_barred_events(index: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Number of events per person and barred concept, for persons who have a wanted event too."""
+    """Number of events per person and barred concept, for persons who have a wanted event too.
+
+    ``labelled`` may hold equal events once, with their number in ``n_events``.
+    """
+    rows = "n_events" if "n_events" in labelled.columns else "1L AS n_events"
     counted = (
-        labelled.selectExpr("person_id", "barred", "if(barred, concept_id, NULL) AS concept_id")
+        labelled.selectExpr("person_id", "barred", "if(barred, concept_id, NULL) AS concept_id", rows)
         .groupBy("person_id", "barred", "concept_id")
-        .agg(F.count(F.lit(1)).alias("n_events"))
+        .agg(F.sum("n_events").alias("n_events"))
     )
     return barred_rows_of_wanted(counted.join(index, "person_id", "left_semi"))
 
 
 def barred_rows_of_wanted(rows: DataFrame) -> DataFrame:
-    """Barred rows of persons who have a row that is not barred."""
+    """Barred rows of persons who have a row that is not barred.
+
+    The rows must have been reduced to one a concept, as those of a person meet in one task.
+    """
     return (
         rows.selectExpr("*", "bool_or(NOT barred) OVER (PARTITION BY person_id) AS wanted")
         .where("barred AND wanted")

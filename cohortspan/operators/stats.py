@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspan.functions.masking import mask_count, mask_value
 
@@ -22,6 +23,11 @@ QUANTILES = {
 }
 
 
+def _named(column: str) -> Column:
+    """A column by its very name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def masked_distribution(
     rows: DataFrame,
     value: str,
@@ -37,26 +43,37 @@ def masked_distribution(
     at most one; minimum and maximum never are. Below ``min_count`` rows, ``n`` is ``-min_count`` and
     the rest NULL. No rows give no result row.
 
-    Ranks come from cumulated counts of the distinct values. Days are few (a date has under four
-    million values), so the window sees one small row per day, whatever the number of persons.
+    ``value`` must be a whole number of days. Ranks come from cumulated counts of the distinct values. Days are
+    few (a date has under four million values), so the window sees one small row per day, whatever the
+    number of persons.
     """
-    histogram = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.expr("count(1) AS copies"))
-    group = f"PARTITION BY {', '.join(by)}" if by else ""
+    kind = rows.select(_named(value)).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{value} is {kind.simpleString()}, not a whole number of days")
+    # Names that no caller's column has, as any of them may stand next to the keys.
+    keys = {f"_key_{i}": column for i, column in enumerate(by)}
+    seen = rows.select(*[_named(c).alias(k) for k, c in keys.items()], _named(value).alias("_v")).where("_v IS NOT NULL")
+    histogram = seen.groupBy(*keys, "_v").agg(F.expr("count(1) AS _copies"))
+    group = f"PARTITION BY {', '.join(keys)}" if by else ""
     ranked = histogram.selectExpr(
-        *by,
-        f"{value} AS v",
-        f"sum(copies) OVER ({group} ORDER BY {value} ROWS UNBOUNDED PRECEDING) AS reached",
-        f"sum(copies) OVER ({group}) AS total",
+        *keys,
+        "_v",
+        f"sum(_copies) OVER ({group} ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _reached",
+        f"sum(_copies) OVER ({group}) AS _total",
     )
 
     def quantile(p: Decimal) -> str:
-        exact = f"min(if(reached >= {p} * total, v, NULL))"
-        return exact if saturate is None else f"if({p} * total > 1, least({exact}, {saturate}L), {exact})"
+        exact = f"min(if(_reached >= {p} * _total, _v, NULL))"
+        return exact if saturate is None else f"if({p} * _total > 1, least({exact}, {saturate}L), {exact})"
 
-    statistics = {"min": "min(v)", **{name: quantile(p) for name, p in quantiles.items()}, "max": "max(v)"}
-    masked = [F.expr(f"{mask_value(x, 'total', min_count)} AS {name}_{value}") for name, x in statistics.items()]
-    found = ranked.groupBy("total", *by).agg(*masked)
-    return found.selectExpr(f"{mask_count('total', min_count)} AS n", *[c for c in found.columns if c != "total"])
+    statistics = {"min": "min(_v)", **{name: quantile(p) for name, p in quantiles.items()}, "max": "max(_v)"}
+    masked = [F.expr(mask_value(x, "_total", min_count)).alias(f"{name}_{value}") for name, x in statistics.items()]
+    found = ranked.groupBy("_total", *keys).agg(*masked)
+    return found.select(
+        F.expr(mask_count("_total", min_count)).alias("n"),
+        *[F.col(k).alias(c) for k, c in keys.items()],
+        *[_named(f"{name}_{value}") for name in statistics],
+    )
 
 
 def masked_counts(
@@ -68,11 +85,11 @@ def masked_counts(
     """Persons per ``by``, and persons with more than k events for each threshold k.
 
     ``occurrences`` holds one row per person and ``by``, with ``n_events``. Below ``min_count`` the
-    count of persons is ``-min_count`` and the threshold counts are NULL.
+    count of persons is ``-min_count`` and the threshold counts are NULL. The column of threshold 1 has no suffix.
     """
     counts = [f"{mask_count('count(1)', min_count)} AS excluded_patient_count"]
     for k in thresholds:
         repeated = f"count_if(n_events > {k})"
-        suffix = f"_{k}" if k > 1 else ""
+        suffix = "" if k == 1 else f"_{k}"
         counts.append(f"{mask_value(repeated, repeated, min_count)} AS excluded_patient_count_multiple{suffix}")
-    return occurrences.groupBy(*by).agg(*map(F.expr, counts))
+    return occurrences.groupBy(*map(_named, by)).agg(*map(F.expr, counts))

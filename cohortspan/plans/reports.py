@@ -26,6 +26,7 @@ from cohortspan.operators.events import (
 )
 from cohortspan.operators.stats import masked_counts, masked_distribution
 from cohortspan.sources.cdm import Cdm
+from cohortspan.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -44,17 +45,29 @@ NSCLC = CohortSpec(disease=12)
 BLADDER = CohortSpec(disease=15)
 
 
-def _index(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
-    return first_event(events_in(cdm.measurements(), concepts_of(codesets, spec.index)))
+@dataclass(frozen=True)
+class Parts:
+    """What the reports on one cohort read: the index, labelled conditions and treatments.
 
+    A report computes those it needs; ``run_all`` stages them for all reports of a disease.
+    """
 
-def _exclusions(codesets: DataFrame, spec: CohortSpec) -> DataFrame:
-    return difference(codesets, keep=spec.other, minus=spec.disease)
+    index: DataFrame
+    conditions: DataFrame
+    treatments: DataFrame | None
+
+
+def _parts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> Parts:
+    return Parts(
+        index=first_event(events_in(cdm.measurements(), concepts_of(codesets, spec.index))),
+        # Disease diagnoses, and as barred events those of exclusion concepts.
+        conditions=label_events(cdm.conditions(), codesets, wanted=spec.disease, barred=spec.other),
+        treatments=events_in(cdm.drugs(), concepts_of(codesets, spec.treatment)),
+    )
 
 
-def _conditions(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
-    """Disease diagnoses, and as barred events those of exclusion concepts."""
-    return label_events(cdm.conditions(), codesets, wanted=spec.disease, barred=spec.other)
+def _exclusions(codesets: DataFrame, spec: CohortSpec) -> DataFrame:
+    return difference(codesets, keep=spec.other, minus=spec.disease)
 
 
 def _distribution(days: DataFrame, value: str, spec: CohortSpec, by: tuple[str, ...] = ()) -> DataFrame:
@@ -63,25 +76,31 @@ def _distribution(days: DataFrame, value: str, spec: CohortSpec, by: tuple[str,
     )
 
 
-def days_to_diagnosis(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
+def days_to_diagnosis(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """Days from the index date to the nearest disease diagnosis."""
-    diagnoses = events_in(cdm.conditions(), concepts_of(codesets, spec.disease))
-    nearest = nearest_event(_index(cdm, codesets, spec), diagnoses)
+    if parts:
+        diagnoses = parts.conditions.where("NOT barred")
+    else:
+        parts = _parts(cdm, codesets, spec)
+        diagnoses = events_in(cdm.conditions(), concepts_of(codesets, spec.disease))
+    nearest = nearest_event(parts.index, diagnoses)
     return _distribution(nearest, "days_to_diag", spec)
 
 
-def days_to_diagnosis_clean(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
+def days_to_diagnosis_clean(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """``days_to_diagnosis`` without persons who ever had an exclusion diagnosis."""
-    nearest = nearest_event_unless_barred(_index(cdm, codesets, spec), _conditions(cdm, codesets, spec))
+    parts = parts or _parts(cdm, codesets, spec)
+    nearest = nearest_event_unless_barred(parts.index, parts.conditions)
     return _distribution(nearest, "days_to_diag", spec)
 
 
-def exclusion_counts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
+def exclusion_counts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """How many cohort members each exclusion concept hits, and how many of them repeatedly.
 
     Ordered by the reported count, so suppressed concepts come last.
     """
-    members = count_barred_events(_index(cdm, codesets, spec), _conditions(cdm, codesets, spec))
+    parts = parts or _parts(cdm, codesets, spec)
+    members = count_barred_events(parts.index, parts.conditions)
     counts = masked_counts(members, min_count=spec.min_count)
     return (
         with_names(counts, cdm.concept, _exclusions(codesets, spec))
@@ -90,25 +109,24 @@ def exclusion_counts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFra
     )
 
 
-def exclusion_days(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
+def exclusion_days(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """Days from the index date to the nearest diagnosis of each exclusion concept, among the cohort."""
-    nearest = nearest_barred_event(_index(cdm, codesets, spec), _conditions(cdm, codesets, spec))
+    parts = parts or _parts(cdm, codesets, spec)
+    nearest = nearest_barred_event(parts.index, parts.conditions)
     found = _distribution(nearest, "days_to_diag", spec, by=("concept_id",))
     named = with_names(found, cdm.concept, _exclusions(codesets, spec))
     statistics = [c for c in found.columns if c not in ("n", "concept_id")]
     return named.select("n", F.col("concept_id").alias("condition_concept_id"), "concept_name", *statistics)
 
 
-def time_to_treatment(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> DataFrame:
+def time_to_treatment(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """Days from the index date to the first drug, in the cohort without exclusion diagnoses.
 
     Members need a disease diagnosis at any date; untreated members are dropped, not censored.
     """
-    cohort = _index(cdm, codesets, spec).join(
-        wanted_never_barred(_conditions(cdm, codesets, spec)), "person_id", "left_semi"
-    )
-    drugs = events_in(cdm.drugs(), concepts_of(codesets, spec.treatment))
-    return _distribution(days_to_first(cohort, drugs), "days_to_treatment", spec)
+    parts = parts or _parts(cdm, codesets, spec)
+    cohort = parts.index.join(wanted_never_barred(parts.conditions), "person_id", "left_semi")
+    return _distribution(days_to_first(cohort, parts.treatments), "days_to_treatment", spec)
 
 
 REPORTS = {
@@ -123,8 +141,36 @@ REPORTS = {
 def run_all(
     cdm: Cdm, codesets: DataFrame, specs: dict[str, CohortSpec], names: Sequence[str] = tuple(REPORTS)
 ) -> dict[str, DataFrame]:
-    """The named reports for every disease, over event tables scanned once in total."""
-    narrow = cdm.narrowed(codesets)
-    return {
-        f"{disease}_{name}": REPORTS[name](narrow, codesets, spec) for disease, spec in specs.items() for name in names
-    }
+    """The named reports for every disease.
+
+    Staged are: the index of each index set, the treatments of its persons if a report asks for them, and for
+    each disease the labelled conditions of its persons, equal events once with their number. Each event
+    table is read once for each of these, and not at all if no report asks.
+    """
+    indexes: dict[int, DataFrame] = {}
+    treatments: dict[tuple[int, int], DataFrame] = {}
+    conditions: dict[tuple[int, int, int], DataFrame] = {}
+    found = {}
+    for disease, spec in specs.items():
+        fresh = _parts(cdm, codesets, spec)
+        if spec.index not in indexes:
+            indexes[spec.index] = stage(fresh.index, "index")
+        index = indexes[spec.index]
+        drugs = None
+        if "time_to_treatment" in names:
+            key = (spec.index, spec.treatment)
+            if key not in treatments:
+                treatments[key] = stage(_of_persons(fresh.treatments, index), "treatments")
+            drugs = treatments[key]
+        key = (spec.index, spec.disease, spec.other)
+        if key not in conditions:
+            conditions[key] = stage(_of_persons(fresh.conditions, index, "barred"), "conditions")
+        parts = Parts(index, conditions[key], drugs)
+        found |= {f"{disease}_{name}": REPORTS[name](cdm, codesets, spec, parts) for name in names}
+    return found
+
+
+def _of_persons(events: DataFrame, index: DataFrame, *more: str) -> DataFrame:
+    """Events of persons with an index, equal ones once; counted before they are shuffled by person."""
+    counted = events.groupBy("person_id", "concept_id", "event_date", *more).agg(F.count(F.lit(1)).alias("n_events"))
+    return counted.join(index.select("person_id"), "person_id", "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.functions.dates import as_date
+from cohortspan.functions.dates import as_date, or_error
 from cohortspan.sources.staging import stage
 
 EVENT_TABLES = {
@@ -32,7 +32,11 @@ def _require(table: str, df: DataFrame, columns: tuple[str, ...]) -> None:
 
 def _as_long(name: str, kind: T.DataType) -> Column:
     # A cast that changes nothing is left out: it would keep filters from reaching the scan.
-    return F.col(name) if isinstance(kind, T.LongType) else F.col(name).cast("long")
+    if isinstance(kind, T.LongType):
+        return F.col(name)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        return F.col(name).cast("long")
+    return or_error(F.col(name).try_cast("long"), F.col(name), "id")
 
 
 @dataclass(frozen=True)

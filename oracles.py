@@ -260,8 +260,23 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
             ),
         ),
         "report_suite": _suite(),
+        "definitions_from_file": _with({}, sets),
+        "saved_codesets": _with({}, sets),
+        "catalog_tables": _with(
+            {},
+            "\nUNION ALL\n".join(
+                f"SELECT '{name}' AS event_table, concept_id, count(*) AS n_events, count(DISTINCT person_id) AS n_persons FROM {step} GROUP BY concept_id"
+                for name, step in (("measurement", "meas"), ("condition_occurrence", "cond"), ("drug_exposure", "drug"))
+            ),
+        ),
     }
     for disease, name in ((12, "disease_a"), (15, "disease_b")):
         for number, (report, sql) in enumerate(_reports(disease).items(), start=1):
             found[f"r{number}_{report}_{name}"] = sql
+        found[f"r3_exclusion_counts_ordered_{name}"] = _with(
+            _report_steps(disease),
+            f"""SELECT s.* EXCLUDE (concept_id), concept_name,
+       row_number() OVER (ORDER BY excluded_patient_count DESC, concept_id) AS position
+FROM ({_counts("r3")}) s JOIN vocab USING (concept_id)""",
+        )
     return found

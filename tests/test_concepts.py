@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from cohortspan.operators.concepts import difference, resolve, save_codesets, stage_codesets, with_names
-from cohortspan.sources.definitions import define, definitions_frame, read_definitions, standard_definitions
+from cohortspan.operators.concepts import concepts_of, difference, resolve, save_codesets, stage_codesets, with_names
+from cohortspan.sources.definitions import define, definitions_frame, read_concepts, read_definitions, standard_definitions
 from tests import brute
 from tests.helpers import make_codesets, values
 
@@ -96,9 +96,69 @@ def test_definitions_from_csv(spark, tmp_path):
     assert sorted(values(read_definitions(spark, path))) == sorted(rows)
 
 
+HEADER = "codeset_id,concept_id,include_descendants,is_excluded"
+
+
+def read_text(spark, tmp_path, text):
+    (tmp_path / "sets.csv").write_text(text)
+    return sorted(values(read_definitions(spark, str(tmp_path / "sets.csv"))))
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        (f"{HEADER}\n5,1,1,0\n5,3,0,0\n", [(5, 1, True, False), (5, 3, False, False)]),
+        (f"{HEADER}\n5, 1 ,TRUE,false\n", [(5, 1, True, False)]),
+        ("concept_id,note,is_excluded,codeset_id,include_descendants\n1,x,0,5,1\n", [(5, 1, True, False)]),
+    ],
+)
+def test_definitions_are_read_by_header(spark, tmp_path, text, expected):
+    assert read_text(spark, tmp_path, text) == expected
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("row", ["5,1,,0", "5,1,yes,0", "5,x2,1,0", "5,,1,0", ",1,1,0", "5,1.5,1,0", "99999999999,1,1,0"])
+def test_bad_definitions_are_errors(spark, tmp_path, row, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="codeset_id|concept_id|include_descendants"):
+            read_text(spark, tmp_path, f"{HEADER}\n5,9,0,0\n{row}\n")
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_columns_of_definitions_are_checked(spark, tmp_path):
+    with pytest.raises(ValueError, match="lack is_excluded"):
+        read_text(spark, tmp_path, "codeset_id,concept_id,include_descendants\n5,1,1\n")
+    (tmp_path / "ids.csv").write_text("name,concept_id\na,7\nb, 8 \n")
+    assert sorted(values(read_concepts(spark, str(tmp_path / "ids.csv")))) == [(7,), (8,)]
+    (tmp_path / "bad.csv").write_text("concept_id\n7\nx2\n")
+    with pytest.raises(Exception, match="x2"):
+        read_concepts(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_gaps_in_definitions_are_errors(spark):
+    concept, ancestors = vocabulary(spark, {1: None}, {(1, 1)})
+    gap = spark.createDataFrame([(5, 1, None, False)], "codeset_id int, concept_id long, include_descendants boolean, is_excluded boolean")
+    with pytest.raises(Exception, match="include_descendants"):
+        resolve(gap, concept, ancestors).collect()
+
+
+def test_no_set_named(spark):
+    with pytest.raises(ValueError):
+        concepts_of(make_codesets(spark, {1: {5}}), *[])
+
+
+def test_a_table_can_replace_itself(spark, tmp_path):
+    first = save_codesets(make_codesets(spark, {1: {5, 6}}), "own_sets", str(tmp_path / "own"))
+    again = save_codesets(first.where("concept_id = 5"), "own_sets", str(tmp_path / "own"))
+    assert values(again) == [(1, 5)]
+
+
 def test_standard_definitions(spark):
     nsclc = spark.createDataFrame([(1001,), (1002,)], "concept_id int")
     found = values(standard_definitions(spark, nsclc))
+    assert {r[0] for r in values(standard_definitions(spark))} == {r[0] for r in found} - {12}
 
     def shape(codeset):
         mine = [r for r in found if r[0] == codeset]

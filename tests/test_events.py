@@ -82,6 +82,12 @@ def test_barred_events(spark):
     assert sorted(values(events.wanted_never_barred(rows))) == [(1,)]
 
 
+def test_counted_events(spark):
+    who, rows = everyone(spark), labelled(spark)
+    once = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n_events"))
+    assert sorted(values(events.count_barred_events(who, once))) == [(2, 7, 1), (4, 7, 3), (4, 8, 1)]
+
+
 def test_exclude_and_require(spark):
     rows = frame(spark, [(1, 5, day(1)), (1, 5, day(2)), (8, 5, day(1))])
     who = index(spark, [(1, DAY), (2, DAY)])
@@ -119,10 +125,31 @@ def test_text_dates(spark):
     assert values(number.select(as_date("d", number.schema["d"].dataType))) == [(date(2024, 1, 15),)]
 
 
-def test_unreadable_date_is_an_error(spark):
-    df = spark.createDataFrame([("soon",)], "d string")
-    with pytest.raises(Exception, match="CANNOT_PARSE|soon"):
-        df.select(as_date("d", df.schema["d"].dataType)).collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_unreadable_dates_are_errors(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for text in ("soon", "2024", "2024-01", "2024011", "20241345", "2024-13-45", "202401150", "", "15.01.2024"):
+            df = spark.createDataFrame([(text,)], "d string")
+            with pytest.raises(Exception, match="no date: "):
+                df.select(as_date("d", df.schema["d"].dataType)).collect()
+        timed = spark.createDataFrame([("2024-01-15 23:10:00",), ("2024-1-5T01:00",)], "d string")
+        assert values(timed.select(as_date("d", timed.schema["d"].dataType))) == [(date(2024, 1, 15),), (date(2024, 1, 5),)]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_unreadable_ids_are_errors(spark, ansi):
+    from dataclasses import replace
+
+    odd = spark.createDataFrame([("p1", 7, DAY)], "person_id string, measurement_concept_id long, measurement_date date")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="no id: p1"):
+            replace(make_cdm(spark), measurement=odd).measurements().collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
 
 
 def test_tables_are_checked_and_coerced(spark):

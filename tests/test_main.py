@@ -1,4 +1,5 @@
 from cohortspan.__main__ import main
+from cohortspan.plans.reports import REPORTS
 from cohortspan.sources.cdm import EVENT_TABLES
 from cohortspan.sources.definitions import SCHEMA, define
 from tests.brute import Cohort
@@ -39,5 +40,7 @@ def test_built_in_sets(spark, tmp_path):
         getattr(cdm, name).write.mode("overwrite").saveAsTable(f"{name}")
     (tmp_path / "nsclc.csv").write_text("concept_id\n777\n")
     main(["--cdm-schema", "default", "--nsclc", str(tmp_path / "nsclc.csv"), "--output", f"{tmp_path}/out"])
+    main(["--cdm-schema", "default", "--output", f"{tmp_path}/without"])
+    assert sorted(x.name for x in (tmp_path / "without").iterdir()) == sorted(f"bladder_{name}" for name in REPORTS)
     found = spark.read.option("header", True).csv(f"{tmp_path}/out/nsclc_days_to_diagnosis").first()
     assert (found["n"], found["min_days_to_diag"], found["max_days_to_diag"]) == ("6", "-5", "0")

