@@ -1,0 +1,100 @@
+import random
+import re
+
+import pytest
+
+from cohortspan.llm import near_duplicates
+from cohortspan.llm.components import components
+from tests.llm.conftest import documents
+
+
+def shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(texts):
+    sets = {d: shingles(t) for d, t in texts.items()}
+    names = {d: d for d in texts}
+
+    def root(d):
+        while names[d] != d:
+            d = names[d]
+        return d
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                names[y] = x
+    return {(d, len(sets[d]), root(d), root(d) == d) for d in ids}
+
+
+def words(rng, n):
+    return [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def made_up(seed, groups=12, most=14):
+    """Texts in groups of drifting copies, some exact, some in other case or spacing; a passage that many share."""
+    rng, texts = random.Random(seed), []
+    passage = words(rng, 30)
+    for _ in range(groups):
+        text = words(rng, rng.choice([3, 5, 12, 60, 150, 400]))
+        for _ in range(rng.randint(1, most)):
+            copy = list(text)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 8])):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                text = copy
+            if rng.random() < 0.3:
+                copy = passage + copy
+            joined = rng.choice([" ", "\n", "  "]).join(copy)
+            texts.append(joined.upper() if rng.random() < 0.1 else joined)
+    rng.shuffle(texts)
+    return dict(enumerate(texts, start=10))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_brute_force(spark, seed):
+    texts = made_up(seed)
+    found = near_duplicates.cluster(documents(spark, texts)).collect()
+    assert {tuple(r) for r in found} == brute(texts) and len(found) == len(texts)
+
+
+def test_one_large_group(spark):
+    rng = random.Random(5)
+    base, texts = words(rng, 146), {}
+    for i in range(250):
+        copy = list(base)
+        for _ in range(rng.randint(0, 10)):
+            copy[rng.randrange(146)] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    found = near_duplicates.cluster(documents(spark, texts)).collect()
+    assert {tuple(r) for r in found} == brute(texts)
+
+
+def test_odd_documents(odd, none):
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.cluster(odd).collect()}
+    assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 5, 5, True), (6, 1, 6, True)} <= found
+    assert {(None, 3, None, True), (None, 0, None, True), (7, 3, 7, True), (8, 1, 8, True)} <= found
+    assert near_duplicates.cluster(odd).count() == odd.count()
+    assert near_duplicates.cluster(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(None, 3), (7, 7)]
+    names = {}
+    for a, b in links:
+        if a is not None and a != b:
+            names.setdefault(a, a), names.setdefault(b, b)
+    for _ in names:
+        for a, b in links:
+            if a in names and b in names:
+                names[a] = names[b] = min(names[a], names[b])
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert dict(map(tuple, found)) == names and len(found) == len(names)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
