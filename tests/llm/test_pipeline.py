@@ -1,0 +1,50 @@
+import pytest
+
+import __spark_entry__ as registry
+import corpus_pipeline
+from tests.conftest import TESTDATA
+from tests.llm import test_decontamination, test_near_duplicates
+
+
+def test_stages(spark):
+    """Each stage on the whole table, its decisions against plain Python where there is a plain way."""
+    folder = f"{TESTDATA}/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    kept = {}
+    for name, step in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
+        result = step(spark, docs, folder)
+        after = {r.doc_id: r for r in result.collect()}
+        kept[name] = (before, after)
+        if name != "sentence_pieces":
+            assert result.columns == docs.columns and result.dtypes == docs.dtypes
+            assert all(after[d] == before[d] for d in after)
+            docs = spark.createDataFrame(list(after.values()), docs.schema)
+    before, after = kept["language"]
+    assert len(after) == len(before)
+    before, after = kept["quality"]
+    assert {d for d in before if d in labels and labels[d] == 1} <= set(after)
+    before, after = kept["near_duplicates"]
+    assert set(after) == {d for d, *_, first in test_near_duplicates.brute({d: r.text for d, r in before.items()}) if first}
+    before, after = kept["decontamination"]
+    assert set(after) == {d for d, r in before.items() if not test_decontamination.brute(r.text, items)[-1]}
+    before, after = kept["sentence_pieces"]
+    assert set(after) == set(before) and all(len(r.ids) for r in after.values())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_documents(spark, odd, none, tmp_path, empty):
+    folder = str(tmp_path)
+    (none if empty else odd).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 5, 1)], "quality int, doc_id long, toxic int").limit(0 if empty else 1).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "brown fox")], "item_id long, text string").limit(0 if empty else 1).write.parquet(f"{folder}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in found} <= {r.doc_id for r in odd.collect()}
+    assert not (empty and found)
+
+
+def test_registered(spark):
+    assert registry.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "decontamination", "sentence_pieces"]
