@@ -3,7 +3,8 @@
 Pages of one host are put in order of their URL path. The text lines of a page are aligned with those of the
 page before it, and of the page after it, by longest common subsequence; lines that both pages have are the site's
 own and are deleted, as are lines in elements made for something else than text (menus, forms, adverts, comments).
-A page that marks its article keeps what is in it, shared or not, as articles repeat passages, and nothing else.
+A page that marks its article, or else its main part, keeps what is in it, shared or not, as articles repeat passages,
+and nothing else.
 
 Pages are parsed where they lie; what is shuffled is compressed lines, in ranges of host and path, so a host
 of any size is spread over many tasks. A task holds two pages at a time.
@@ -36,7 +37,6 @@ ASIDE_WORDS = """
     cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login
     comment comments commentlist discussion disqus reply replies respond share sharing social
 """.split()
-ARTICLE = "article main".split()
 BLOCKS = """
     address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td
@@ -44,8 +44,7 @@ BLOCKS = """
 """.split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
-_UNSEEN, _ASIDE, _ROLES, _WORDS = map(frozenset, (UNSEEN, ASIDE, ASIDE_ROLES, ASIDE_WORDS))
-_ARTICLE, _BLOCKS, _VOID = map(frozenset, (ARTICLE, BLOCKS, VOID))
+_UNSEEN, _ASIDE, _ROLES, _WORDS, _BLOCKS, _VOID = map(frozenset, (UNSEEN, ASIDE, ASIDE_ROLES, ASIDE_WORDS, BLOCKS, VOID))
 # A "<" that opens no tag, comment or declaration is text.
 _MARKUP = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|<[a-zA-Z][^<]*\Z", re.S
@@ -53,23 +52,29 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
-#: What a line is: in a marked article, in an element that is not text, or neither.
-IN_ARTICLE, IN_ASIDE, OPEN = 0, 1, 2
+# Class words that name the head of an article as well as that of a page.
+_HEADS = frozenset(("header", "masthead", "banner"))
+
+#: What a line is: in a marked article, in the marked main part of a page, in an element that is not text, or neither.
+IN_ARTICLE, IN_MAIN, IN_ASIDE, OPEN = range(4)
 
 
 def _part(name: str, attributes: str, in_article: bool) -> int:
     """What an element says of its text; OPEN if nothing."""
     if name in _ASIDE and not (name == "header" and in_article):
         return IN_ASIDE
-    kind = IN_ARTICLE if name in _ARTICLE else OPEN
+    kind = IN_ARTICLE if name == "article" else IN_MAIN if name == "main" else OPEN
+    unlike_text = _WORDS - _HEADS if in_article else _WORDS
     for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
             return IN_ASIDE
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and _WORDS & set(re.split(r"[^a-z0-9]+", value)):
+        if key in ("class", "id") and name not in ("body", "html", "main") and unlike_text & set(re.split(r"[^a-z0-9]+", value)):
             return IN_ASIDE
-        if key == "role" and value in ("main", "article") or key == "itemprop" and value == "articlebody":
+        if (key, value) in (("role", "article"), ("itemprop", "articlebody")):
             kind = IN_ARTICLE
+        elif (key, value) == ("role", "main") and kind == OPEN:
+            kind = IN_MAIN
     return kind
 
 
@@ -117,7 +122,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
                     break
         elif name not in _VOID:
             # Every element of a name that is on the stack goes on it too, so that the right end tag closes it.
-            said = _part(name, found[3], any(k == IN_ARTICLE for _, k in stack))
+            said = _part(name, found[3], any(k in (IN_ARTICLE, IN_MAIN) for _, k in stack))
             if said != OPEN or any(n == name for n, _ in stack):
                 if name not in _BLOCKS and said == IN_ASIDE:
                     flush()
@@ -125,7 +130,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         else:
             continue
         kinds = {k for _, k in stack}
-        new = IN_ASIDE if IN_ASIDE in kinds else IN_ARTICLE if IN_ARTICLE in kinds else OPEN
+        new = next((k for k in (IN_ASIDE, IN_ARTICLE, IN_MAIN) if k in kinds), OPEN)
         if new != kind:
             flush()
             kind = new
@@ -193,9 +198,10 @@ def main_text(lines: list[tuple[int, str]], neighbours: Sequence[Sequence[str]])
     """The lines that are left, joined by empty lines. ``neighbours`` are the lines of pages to differ from."""
     texts = [t for _, t in lines]
     shared = set().union(*(common_lines(texts, other) for other in neighbours if other != texts))
-    marked = any(kind == IN_ARTICLE for kind, _ in lines)
+    kinds = {kind for kind, _ in lines}
+    marked = next((k for k in (IN_ARTICLE, IN_MAIN) if k in kinds), None)
     return "\n\n".join(
-        text for i, (kind, text) in enumerate(lines) if (kind == IN_ARTICLE if marked else kind == OPEN and i not in shared)
+        text for i, (kind, text) in enumerate(lines) if (kind == OPEN and i not in shared if marked is None else kind == marked)
     )
 
 

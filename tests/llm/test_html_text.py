@@ -28,6 +28,12 @@ def test_broken_pages():
     assert html_text.main_text(html_text.lines_of("<article><p>kept<article><p>inner</article><p>too</article><p>not"), []) == "kept\n\ninner\n\ntoo"
 
 
+def test_marked_parts():
+    page = "<main><p>crumbs</p><article class=post><div class='post-header'><h1>T</h1></div><p>x</p><article class=comment>c</article></article></main>"
+    assert html_text.main_text(html_text.lines_of(page), []) == "T\n\nx"
+    assert html_text.main_text(html_text.lines_of("<div role=main><p>a</p><div class=sidebar>s</div></div><p>b"), []) == "a"
+
+
 def longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
