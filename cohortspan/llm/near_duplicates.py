@@ -107,10 +107,23 @@ def postings(signed: DataFrame, matches: int) -> DataFrame:
     return ranked.where(f"n >= {matches} AND place <= n - {matches} + 1").select("pair", "doc", "links")
 
 
-def _may_link(x: str, y: str, alike: int) -> str:
-    """Whether sets of n shingles, ``own`` of them in no other candidate, can be alike enough."""
-    both = f"least({x}.n - {x}.own, {y}.n - {y}.own)"
-    return f"100 * {both} >= {alike} * greatest({x}.n + {y}.own, {y}.n + {x}.own, {x}.n + {y}.n - {both})"
+def _may_link(x: str, y: str, alike: int, own: str = "own") -> str:
+    """Whether sets of n shingles can be alike enough, if the other one lacks those counted in ``own``."""
+    both = f"least({x}.n - {x}.{own}, {y}.n - {y}.own)"
+    return f"100 * {both} >= {alike} * greatest({x}.n + {y}.own, {y}.n + {x}.{own}, {x}.n + {y}.n - {both})"
+
+
+def _lacking(outside: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc, main, lacks): how many shingles of an outside set no member of a component has, if any.
+
+    A component's members are its linked sets, or the one set that it is named after.
+    """
+    mains = outside.select(F.col("main").alias("component")).distinct()
+    members = grouped.join(mains, "component", "left_semi").select("doc", "component")
+    members = members.union(mains.select(F.col("component").alias("doc"), "component")).distinct()
+    held = members.join(sets, "doc").select(F.col("component").alias("main"), F.explode("shingles").alias("shingle")).distinct()
+    wanted = outside.join(sets, "doc").select("doc", "main", F.explode("shingles").alias("shingle"))
+    return wanted.join(held, ["main", "shingle"], "left_anti").groupBy("doc", "main").agg(F.count(F.lit(1)).alias("lacks"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
@@ -160,13 +173,24 @@ def cluster(docs: DataFrame, size: int = SHINGLE, alike: int = ALIKE, matches: i
     links = stage(linked(spokes, sets, alike), "links")
 
     grouped = components(links).withColumnRenamed("node", "doc")
-    placed = near.join(grouped, "doc", "left").selectExpr("pair", "doc", "n", "own", "coalesce(component, doc) AS component")
+    prefixes = near.groupBy("doc").agg(F.collect_list("pair").alias("prefix"))
+    placed = near.join(prefixes, "doc").join(grouped, "doc", "left")
+    placed = placed.selectExpr("pair", "doc", "n", "own", "prefix", "coalesce(component, doc) AS component")
     placed = stage(placed.join(hubs.select("pair", "hub"), "pair"), "postings")
     main = placed.where("doc = hub").selectExpr("pair", "component AS main").distinct()
     outside = placed.join(main, "pair").where("component <> main")
+    lacking = _lacking(outside.select("doc", "main").distinct(), grouped, sets)
+    outside = outside.join(lacking, ["doc", "main"], "left").selectExpr("*", "greatest(own, coalesce(lacks, 0)) AS apart")
+    # Of the postings in which two sets meet only the first one pairs them.
     rest = outside.alias("x").join(
         placed.alias("y"),
-        F.expr(f"x.pair = y.pair AND x.component <> y.component AND y.doc <> y.hub AND {_may_link('x', 'y', alike)}"),
+        F.expr(
+            f"""x.pair = y.pair AND x.component <> y.component AND y.doc <> y.hub
+            AND {_may_link('x', 'y', alike)}
+            AND (y.component <> x.main OR {_may_link('x', 'y', alike, own='apart')})
+            AND (y.component = x.main OR x.doc < y.doc)
+            AND x.pair = array_min(array_intersect(x.prefix, y.prefix))"""
+        ),
     )
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
     found = components(links.union(linked(rest, sets, alike)))
