@@ -68,6 +68,19 @@ def ordered_cells(df: DataFrame, key: str, cells: int) -> tuple[DataFrame, dict[
     return celled, {row["cell"]: row["least"] for row in sorted(smallest)}
 
 
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self, *words):
+        super().__init__(*words)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import ordered_cells, partitions
+from cohortspan.llm.common import Numbered, ordered_cells, partitions
 from cohortspan.sources.staging import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,7 +37,7 @@ END = 2
 #: Ids of a block; ids from which a record is closed; ids a task codes at once.
 BLOCK, RECORD, AT_ONCE = 1024, 1 << 16, 1 << 22
 #: Words a task remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 MAGIC = b"CMR1"
 
 # --- order-0 classes: ids of like rank, of 2 ** bits ids each, four to each doubling ---
@@ -277,22 +277,12 @@ def unpack_records(records: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, n
 
 # --- texts to ids ---
 
+# The signs by which byte-level tokenizers write bytes: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(sorted({*range(0x100)} - {*_PRINTABLE}))}
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-class _Numbered(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self, *words):
-        super().__init__(*words)
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
 class WordEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each different word.
 
@@ -311,7 +301,7 @@ class WordEncoder:
         if kind["normalizer"] or kind["post_processor"] or kind["pre_tokenizer"]["type"] != "ByteLevel" or kind["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only plain byte-level tokenizers start anew at each word")
         self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
-        self.known = _Numbered()
+        self.known = Numbered()
         self.starts = self.sizes = self.flat = np.zeros(0, np.int64)
 
     @staticmethod
@@ -335,8 +325,12 @@ class WordEncoder:
         bare = {k: k[:-1] for k in new if k[-1] in ".," and k[:-1].isalpha()}
         asked = {k for k in new if k not in bare} | {b for b in bare.values() if learned.get(b, done) >= done}
         asked = list(asked)
-        pieces = self.tokenizer.encode_batch_fast([self._spelled(k) for k in asked], add_special_tokens=False)
-        found = {k: e.ids for k, e in zip(asked, pieces)}
+        # A run of letters is one piece for the merges, spelled in the tokenizer's signs for bytes.
+        merge, signs = self.tokenizer.model.tokenize, _BYTE_SIGNS
+        found = {k: [t.id for t in merge((" " + k).encode().decode("latin-1").translate(signs))] for k in asked if k.isalpha()}
+        others = [k for k in asked if not k.isalpha()]
+        pieces = self.tokenizer.encode_batch_fast([self._spelled(k) for k in others], add_special_tokens=False)
+        found.update(zip(others, (e.ids for e in pieces)))
         flat, sizes = [], []
         for k in new:
             b = bare.get(k, k)
@@ -359,7 +353,7 @@ class WordEncoder:
             # What this batch uses again stays, and with it the common words.
             kept = list({w for words in split for w in words if w in self.known})
             at = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
-            self.known = _Numbered(zip(kept, range(len(kept))))
+            self.known = Numbered(zip(kept, range(len(kept))))
             sizes, ends = self.sizes[at], np.cumsum(self.sizes[at])
             self.flat = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
             self.starts, self.sizes = ends - sizes, sizes
