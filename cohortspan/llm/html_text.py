@@ -246,8 +246,8 @@ def _frame(found: list[tuple]) -> pd.DataFrame:
     return frame.assign(n_chars=frame["text"].str.len().astype("int64"))
 
 
-#: Keys sampled for each range of pages.
-SAMPLED = 64
+#: Keys sampled for each range of pages, about.
+SAMPLED = 32
 
 
 def extract(pages: DataFrame, cells: int | None = None) -> DataFrame:
@@ -263,7 +263,9 @@ def extract(pages: DataFrame, cells: int | None = None) -> DataFrame:
     number = F.lpad(F.coalesce(F.col("page_id") + F.lit(2**62), F.lit(0)).cast("string"), 20, "0")
     keyed = rows.select("*", host.alias("host"), F.concat_ws("\u0001", host, path, number).alias("key"))
     keys = keyed.select("key")
-    sample = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key")).limit(SAMPLED * cells).collect())
+    # About so many keys for each range reach the driver, picked by their hash.
+    spacing = max(1, keys.count() // (SAMPLED * cells))
+    sample = sorted(r["key"] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(spacing)) == 0).distinct().collect())
     bounds = sorted({sample[len(sample) * i // cells] for i in range(1, cells)}) if sample else []
     cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
     ends = keys.withColumn("cell", cell).groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"))
