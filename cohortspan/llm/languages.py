@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import LETTER_WORDS
+from cohortspan.llm.common import LETTER_WORDS, Numbered
 from cohortspan.sources.staging import stage
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,8 +34,10 @@ UNDETERMINED = "und"
 PASSES, SMOOTHING = 2, 0.05
 #: Labelled languages; more are an error, as the driver holds a table of pieces for each.
 MOST_LANGUAGES = 500
+#: More than the characters of any piece.
+LONGEST_PIECE = 1024
 #: Words and scores a task remembers, counted words it holds before it passes them on, and characters it scores at once.
-REMEMBERED, HELD, AT_ONCE = 250_000, 300_000, 2_000_000
+REMEMBERED, HELD, AT_ONCE = 300_000, 200_000, 1_000_000
 #: Longer words are scored one by one with rescaling, as their probability has no double.
 LONG = 48
 
@@ -53,7 +56,7 @@ class Lattice:
         self.automaton = ahocorasick.Automaton()
         for i, piece in enumerate(pieces):
             if piece and MARK not in piece[1:]:
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.automaton.add_word(piece, i * LONGEST_PIECE + len(piece))
         self.automaton.make_automaton()
         self.single = {p for p in pieces if len(p) == 1}
 
@@ -65,19 +68,25 @@ class Lattice:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         firsts = np.concatenate(([0], np.cumsum(sizes + 2)))
         joined = MARK + ("\n" + MARK).join(words)
-        found = [(end + 1, n, i) for end, (i, n) in self.automaton.iter(joined)]
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         uncovered = set(joined) - self.single - {"\n"}
         if uncovered:
-            found += [(at + 1, 1, 0) for at, c in enumerate(joined) if c in uncovered]
-        table = np.array(found, np.int64).reshape(-1, 3)
-        return firsts, table[:, 0] - table[:, 1], table[:, 0], table[:, 2]
+            letters = [(at, 1) for at, c in enumerate(joined) if c in uncovered]
+            found = np.concatenate((found, np.array(letters, np.int64)))
+        end = found[:, 0] + 1
+        piece, size = np.divmod(found[:, 1], LONGEST_PIECE)
+        return firsts, end - size, end, piece
 
 
-def _by_step(nodes: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-    """Indexes of the edges by the distance of their node from the word's first."""
+def _by_step(nodes: np.ndarray, firsts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The edges at each distance of their node from the word's first: indexes, where a node's begin, and the nodes."""
     step = nodes - firsts[np.searchsorted(firsts, nodes, side="right") - 1]
-    order = np.argsort(step, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(step[order])) + 1)
+    order = np.lexsort((nodes, step))
+    out = []
+    for edges in np.split(order, np.flatnonzero(np.diff(step[order])) + 1):
+        begins = np.flatnonzero(np.diff(nodes[edges], prepend=-1))
+        out.append((edges, begins, nodes[edges[begins]]))
+    return out
 
 
 def forward(lattice: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -87,8 +96,8 @@ def forward(lattice: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
     firsts, start, end, piece = lattice.edges(words)
     reach = np.zeros((firsts[-1], p.shape[1]))
     reach[firsts[:-1]] = 1
-    for edges in _by_step(end, firsts):
-        np.add.at(reach, end[edges], reach[start[edges]] * p[piece[edges]])
+    for edges, begins, nodes in _by_step(end, firsts):
+        reach[nodes] = np.add.reduceat(reach[start[edges]] * p[piece[edges]], begins, axis=0)
     return reach[firsts[1:] - 1]
 
 
@@ -98,10 +107,10 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarr
     ahead, back = np.zeros(firsts[-1]), np.zeros(firsts[-1])
     ahead[firsts[:-1]] = 1
     back[firsts[1:] - 1] = 1
-    for edges in _by_step(end, firsts):
-        np.add.at(ahead, end[edges], ahead[start[edges]] * p[piece[edges]])
-    for edges in reversed(_by_step(start, firsts)):
-        np.add.at(back, start[edges], back[end[edges]] * p[piece[edges]])
+    for edges, begins, nodes in _by_step(end, firsts):
+        ahead[nodes] = np.add.reduceat(ahead[start[edges]] * p[piece[edges]], begins)
+    for edges, begins, nodes in reversed(_by_step(start, firsts)):
+        back[nodes] = np.add.reduceat(back[end[edges]] * p[piece[edges]], begins)
     word = np.searchsorted(firsts, start, side="right") - 1
     share = ahead[start] * p[piece] * back[end] / ahead[firsts[1:] - 1][word]
     return np.bincount(piece, share * counts[word], minlength=len(p))
@@ -207,34 +216,34 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, _lattice(model.pieces)
-        self.known: dict[str, int] = {}
+        self.known = Numbered()
         self.scores = np.zeros((0, len(model.languages)))
 
     def _learn(self, words: list[str]) -> None:
+        """Scores of words that ``known`` has just numbered."""
         found = np.empty((len(words), len(self.model.languages)))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        with np.errstate(divide="ignore"):
-            for a in range(0, len(short), 20_000):
-                part = short[a : a + 20_000]
-                found[part] = np.log(forward(self.lattice, [words[i] for i in part], self.model.p))
+        for a in range(0, len(short), 20_000):
+            part = short[a : a + 20_000]
+            found[part] = np.log(forward(self.lattice, [words[i] for i in part], self.model.p))
         for i in set(range(len(words))) - set(short) if len(short) < len(words) else ():
             found[i] = log_forward_long(self.lattice, words[i], self.model.p)
-        for i, w in enumerate(words, start=len(self.scores)):
-            self.known[w] = i
         self.scores = np.concatenate((self.scores, found))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior probability of each text."""
         split = [LETTER_WORDS.findall(t.lower()) if t else [] for t in texts]
-        seen = set().union(*split)
-        if len(seen - self.known.keys()) + len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.scores = self.scores[:0]
-        new = sorted(seen - self.known.keys())
-        if new:
-            self._learn(new)
+        if len(self.known) > REMEMBERED:
+            # What this batch uses again stays, and with it the common words.
+            kept = list({w for words in split for w in words if w in self.known})
+            self.scores = self.scores[[self.known[w] for w in kept]]
+            self.known = Numbered(zip(kept, range(len(kept))))
         sizes = [len(words) for words in split]
-        index = np.fromiter((self.known[w] for words in split for w in words), np.int64, sum(sizes))
+        number = self.known.__getitem__
+        index = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number, w), np.int64, len(w)) for w in split)])
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         out, at = [], 0
         for n in sizes:
             if not n:
