@@ -11,6 +11,7 @@ the lattice once, gets its ids back, and is put together again with its compress
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,10 +24,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspan.llm.common import partitions
+from cohortspan.llm.languages import batched
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Longer units are cut every so many characters. Characters of the texts of a cell, about.
-LONGEST, CELL = 64, 16_000_000
+LONGEST, CELL = 64, 14_000_000
+#: Characters of text that are compressed together, and units a task remembers having sent.
+PACKED, SENT = 2_000_000, 200_000
+#: Partitions of units for each one of the session's: a unit makes some fifty rows.
+FINER = 8
 #: A piece's score is its own less this: of two segmentations the one of fewer pieces is better, then the one of
 #: better pieces. This is how merging mostly ends; sums of bare merge ranks would avoid long pieces.
 PER_PIECE = 1_000_000.0
@@ -63,17 +71,16 @@ def first_byte(path: str = MODEL) -> int:
 
 
 def segment(units: DataFrame, pieces: DataFrame, byte_zero: int, most: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """``units`` (unit, and columns ``also``) with ``ids``, the best path's. Of equal paths the one with greater ids wins.
+    """``units`` (unit, and columns ``also``) with ``ids``, the best path's.
 
-    Pieces have at most ``most`` characters. A character without a piece of its own can be spelled in bytes.
+    Of equal paths to a place the one whose last piece is shorter wins. Pieces have at most ``most`` characters.
+    A character without a piece of its own can be spelled in bytes.
     """
     keys = ["unit", *also]
     starts = units.select(*keys, F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(most), F.length("unit") - F.col("start") + 1))
     spans = starts.select(*keys, "start", F.explode(lengths).alias("size"))
     spans = spans.select(*keys, "start", "size", F.substring("unit", F.col("start"), F.col("size")).alias("piece"))
-    hexed = "hex(encode(piece, 'UTF-8'))"
-    spelled = f"transform(sequence(1, length({hexed}), 2), i -> int(conv(substring({hexed}, i, 2), 16, 10)) + {byte_zero})"
     # The vocabulary is fixed, some ten thousand short strings, so it is sent everywhere.
     edges = (
         spans.join(F.broadcast(pieces), "piece", "left")
@@ -82,22 +89,34 @@ def segment(units: DataFrame, pieces: DataFrame, byte_zero: int, most: int, also
             *keys,
             "start - 1 AS start",
             "start + size - 1 AS end",
-            f"if(id IS NULL, {spelled}, array(id)) AS ids",
-            f"if(id IS NULL, -{PER_BYTE}D * length({hexed}), score) AS score",
+            "id",
+            f"coalesce(score, -{PER_BYTE}D * octet_length(piece)) AS score",
         )
     )
-    lattice = edges.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "score", "ids")).alias("edges"))
-    best = """
+    lattice = edges.groupBy(*keys).agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"))
+    # For each place from left to right the best way to it, and where that comes from; then back from the end.
+    reached = """
         aggregate(
             sequence(1, length(unit)),
-            array(named_struct('score', 0D, 'ids', cast(array() AS array<int>))),
+            array(named_struct('score', 0D, 'start', 0, 'id', cast(NULL AS int))),
             (reached, node) -> concat(reached, array(array_max(transform(
                 filter(edges, e -> e.end = node),
-                e -> named_struct('score', reached[e.start].score + e.score, 'ids', concat(reached[e.start].ids, e.ids))
-            )))),
-            reached -> element_at(reached, -1).ids
+                e -> named_struct('score', reached[e.start].score + e.score, 'start', e.start, 'id', e.id)
+            ))))
+        )"""
+    spelled = "hex(encode(substring(unit, way.at, 1), 'UTF-8'))"
+    spelled = f"transform(sequence(1, length({spelled}), 2), i -> int(conv(substring({spelled}, i, 2), 16, 10)) + {byte_zero})"
+    path = f"""
+        aggregate(
+            sequence(1, length(unit)),
+            named_struct('at', length(unit), 'ids', cast(array() AS array<int>)),
+            (way, step) -> if(way.at = 0, way, named_struct(
+                'at', reached[way.at].start,
+                'ids', concat(if(reached[way.at].id IS NULL, {spelled}, array(reached[way.at].id)), way.ids)
+            )),
+            way -> way.ids
         )"""
-    return lattice.select(*keys, F.expr(best).alias("ids"))
+    return lattice.select(*keys, F.expr(reached).alias("reached")).select(*keys, F.expr(path).alias("ids"))
 
 
 def _cell(docs: DataFrame) -> DataFrame:
@@ -122,27 +141,33 @@ def _units_by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fresh = set(units_of(text)) - known
             known |= fresh
             new += [(cell, u) for u in fresh]
-            if sum(map(len, seen.values())) > 1_000_000:
+            if sum(map(len, seen.values())) > SENT:
                 seen.clear()  # some units are then sent twice
         yield pd.DataFrame(new, columns=["cell", "unit"])
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pack = zstandard.ZstdCompressor(level=3)
+    """Runs of documents of one cell, their ids and compressed texts in a row."""
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
-        texts = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "cell": batch["cell"], "text": texts})
+        for cell, rows in batch.groupby("cell", sort=False):
+            at = 0
+            for part in batched(rows["text"].tolist(), PACKED):
+                own = rows["doc_id"].iloc[at : at + len(part)]
+                ids = [None if pd.isna(d) else int(d) for d in own]
+                yield pd.DataFrame({"cell": [cell], "doc_ids": [ids], "texts": [pack.compress(json.dumps(part).encode())]})
+                at += len(part)
 
 
 def _assemble(key: tuple, docs: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
     unpack = zstandard.ZstdDecompressor()
-    known = {u: np.frombuffer(ids, "<i4") for u, ids in zip(units["unit"], units["ids"])}
-    none = np.zeros(0, np.int32)
-    out = []
-    for packed in docs["text"]:
-        split = units_of(unpack.decompress(packed).decode("utf-8", "surrogatepass")) if packed is not None else []
-        out.append(np.concatenate([none, *(known[u] for u in split)]))
-    return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
+    known = dict(zip(units["unit"], units["ids"]))
+    doc_ids, out = [], []
+    for ids, packed in zip(docs["doc_ids"], docs["texts"]):
+        doc_ids += list(ids)
+        for text in json.loads(unpack.decompress(packed)):
+            out.append(np.frombuffer(b"".join([known[u] for u in units_of(text)]), "<i4"))
+    return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "ids": out})
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -156,10 +181,10 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     celled = _cell(docs)
     sent = celled.mapInPandas(_units_by_cell, "cell long, unit string")
     # As many cells at most as hold a unit; a common unit is in each once.
-    units = sent.groupBy("unit").agg(F.collect_set("cell").alias("cells"))
+    units = sent.repartition(FINER * partitions(docs), "unit").groupBy("unit").agg(F.collect_set("cell").alias("cells"))
     found = segment(units, pieces, first_byte(path), most, ("cells",))
     found = found.select("unit", F.explode("cells").alias("cell"), "ids").mapInPandas(_as_bytes, "unit string, cell long, ids binary")
-    packed = celled.mapInPandas(_packed, "doc_id long, cell long, text binary")
+    packed = celled.mapInPandas(_packed, "cell long, doc_ids array<long>, texts binary")
     return packed.groupBy("cell").cogroup(found.groupBy("cell")).applyInPandas(_assemble, "doc_id long, ids array<int>")
 
 

@@ -11,19 +11,20 @@ from tests.llm.conftest import documents
 
 
 def best_path(unit, pieces, byte_zero, most):
-    reached = [(0.0, [])]
+    """By trying all paths from the left; of equal ones the one whose last piece is shorter."""
+    reached = [(0.0, 0, [])]
     for end in range(1, len(unit) + 1):
         ways = []
         for start in range(max(0, end - most), end):
             part = unit[start:end]
             if part in pieces:
                 i, score = pieces[part]
-                ways.append((reached[start][0] + score, reached[start][1] + [i]))
+                ways.append((reached[start][0] + score, start, reached[start][2] + [i]))
             elif end - start == 1:
                 data = part.encode()
-                ways.append((reached[start][0] - sentence_pieces.PER_BYTE * 2 * len(data), reached[start][1] + [byte_zero + b for b in data]))
+                ways.append((reached[start][0] - sentence_pieces.PER_BYTE * len(data), start, reached[start][2] + [byte_zero + b for b in data]))
         reached.append(max(ways))
-    return reached[-1][1]
+    return reached[-1][2]
 
 
 def test_segments_are_best_paths(spark):
