@@ -37,7 +37,7 @@ MOST_LANGUAGES = 500
 #: More than the characters of any piece.
 LONGEST_PIECE = 1024
 #: Words and scores a task remembers, counted words it holds before it passes them on, and characters it scores at once.
-REMEMBERED, HELD, AT_ONCE = 300_000, 200_000, 1_000_000
+REMEMBERED, HELD, AT_ONCE = 120_000, 150_000, 500_000
 #: Longer words are scored one by one with rescaling, as their probability has no double.
 LONG = 48
 

@@ -30,9 +30,9 @@ from cohortspan.llm.languages import batched
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Longer units are cut every so many characters. Characters of the texts of a cell, about.
-LONGEST, CELL = 64, 14_000_000
+LONGEST, CELL = 64, 8_000_000
 #: Characters of text that are compressed together, and units a task remembers having sent.
-PACKED, SENT = 2_000_000, 200_000
+PACKED, SENT = 1_000_000, 100_000
 #: Partitions of units for each one of the session's: a unit makes some fifty rows.
 FINER = 8
 #: A piece's score is its own less this: of two segmentations the one of fewer pieces is better, then the one of
