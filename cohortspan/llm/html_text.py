@@ -3,8 +3,9 @@
 Pages of one host are put in order of their URL path. The text lines of a page are aligned with those of the
 page before it, and of the page after it, by longest common subsequence; lines that both pages have are the site's
 own and are deleted, as are lines in elements made for something else than text (menus, forms, adverts, comments).
-A page that marks its article, or else its main part, keeps what is in it, shared or not, as articles repeat passages,
-and nothing else.
+A page that marks its article, or else its main part, keeps nothing else. Within that part a line goes if the page
+before and the page after both have it there, unless two of the three are copies: articles are copied and quote each
+other, so one neighbour says nothing of a marked line.
 
 Pages are parsed where they lie; what is shuffled is compressed lines, in ranges of host and path, so a host
 of any size is spread over many tasks. A task holds two pages at a time.
@@ -194,15 +195,52 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(lines: list[tuple[int, str]], neighbours: Sequence[Sequence[str]]) -> str:
-    """The lines that are left, joined by empty lines. ``neighbours`` are the lines of pages to differ from."""
-    texts = [t for _, t in lines]
-    shared = set().union(*(common_lines(texts, other) for other in neighbours if other != texts))
+#: Neighbours' parts that share this much of the characters of the smaller one are copies of each other.
+COPIED = 0.5
+
+
+def _marked(lines: list[tuple[int, str]]) -> int | None:
+    """By what kind of line a page marks its text, if it does."""
     kinds = {kind for kind, _ in lines}
-    marked = next((k for k in (IN_ARTICLE, IN_MAIN) if k in kinds), None)
-    return "\n\n".join(
-        text for i, (kind, text) in enumerate(lines) if (kind == OPEN and i not in shared if marked is None else kind == marked)
-    )
+    return next((k for k in (IN_ARTICLE, IN_MAIN) if k in kinds), None)
+
+
+def _part_of(lines: list[tuple[int, str]]) -> list[str]:
+    """The lines that a page marks as its text, or else those in no element made for something else."""
+    marked = _marked(lines)
+    return [t for kind, t in lines if kind == (OPEN if marked is None else marked)]
+
+
+def _shared_unless_copied(a: list[str], b: list[str]) -> set[int] | None:
+    """Indexes into ``a`` of the lines it shares with ``b``; none if one is a copy of the other or of most of it."""
+    shared = common_lines(a, b)
+    size = min(sum(map(len, a)), sum(map(len, b)))
+    return None if sum(len(a[i]) for i in shared) >= COPIED * size else shared
+
+
+def _site_lines(part: list[str], neighbours: list[list[str]]) -> set[int]:
+    """Indexes of the lines of a marked part that both neighbours have, if neither they nor this part are copies of each other."""
+    if len(neighbours) < 2:
+        return set()
+    before = _shared_unless_copied(part, neighbours[0])
+    after = _shared_unless_copied(part, neighbours[1]) if before else None
+    both = before & after if after else set()
+    return both if both and _shared_unless_copied(*neighbours) is not None else set()
+
+
+def main_text(lines: list[tuple[int, str]], neighbours: Sequence[list[tuple[int, str]]]) -> str:
+    """The lines that are left, joined by empty lines. ``neighbours`` are the lines of pages to differ from.
+
+    Without a mark, a line shared with any neighbour goes. In a marked part, one shared with two neighbours does.
+    """
+    texts = [t for _, t in lines]
+    others = [other for other in neighbours if [t for _, t in other] != texts]
+    if _marked(lines) is None:
+        shared = set().union(*(common_lines(texts, [t for _, t in other]) for other in others))
+        return "\n\n".join(text for i, (kind, text) in enumerate(lines) if kind == OPEN and i not in shared)
+    part = _part_of(lines)
+    site = _site_lines(part, [_part_of(other) for other in others])
+    return "\n\n".join(text for i, text in enumerate(part) if i not in site)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,10 +252,10 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpack = zstandard.ZstdDecompressor()
-    before: list[str] | None = None  # lines of the last page of this host that is not like the held one
+    before: list[tuple[int, str]] | None = None  # lines of the last page of this host that is not like the held one
     held = None
 
-    def text_of(page: dict, after: list[str] | None) -> str:
+    def text_of(page: dict, after: list[tuple[int, str]] | None) -> str:
         return main_text(page["lines"], [x for x in (before, after) if x is not None])
 
     for batch in batches:
@@ -225,16 +263,14 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.itertuples(index=False):
             lines = json.loads(unpack.decompress(row.lines))
             page = {"id": row.page_id, "url": row.url, "place": (row.cell, row.host), "lines": lines, "guest": row.guest}
-            texts = [t for _, t in lines]
             if held is not None:
                 near = held["place"] == page["place"]
-                own = [t for _, t in held["lines"]]
                 if not held["guest"]:
-                    found.append((held["id"], held["url"], text_of(held, texts if near else None)))
+                    found.append((held["id"], held["url"], text_of(held, lines if near else None)))
                 if not near:
                     before = None
-                elif own != texts:
-                    before = own
+                elif [t for _, t in held["lines"]] != [t for _, t in lines]:
+                    before = held["lines"]
             held = page
         yield _frame(found)
     if held is not None and not held["guest"]:

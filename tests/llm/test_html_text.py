@@ -90,3 +90,18 @@ def test_odd_pages(spark):
     found = html_text.extract(pages, 3).collect()
     assert sorted((r.page_id or 0, r.text[:1], r.n_chars) for r in found) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0), (3, "b", 199_999), (4, "", 0)]
     assert html_text.extract(pages.limit(0), 3).count() == 0
+
+
+def test_site_lines_go_from_marked_articles(spark):
+    """A notice that the articles of a site carry goes, whatever its class; what two articles share, or copies, stays."""
+    rows = [
+        (i, f"http://h/{i:02d}", f"<nav>m</nav><article><p class=x>Read this first</p><p>own text of {i} at length</p>{q}</article>")
+        for i, q in enumerate(["", "", "<p>quoted</p>", "<p>quoted</p>", "", ""])
+    ]
+    copied = "<article><p>Head</p><p>A long passage that all have</p><p>{}</p></article>"
+    rows += [(10 + i, f"http://copies/{i:02d}", copied.format(i)) for i in range(4)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 1).collect()}
+    for i in range(1, 5):
+        assert found[i] == f"own text of {i} at length" + ("\n\nquoted" if i in (2, 3) else "")
+    for i in range(4):
+        assert found[10 + i] == f"Head\n\nA long passage that all have\n\n{i}"
