@@ -1,11 +1,11 @@
 """Near-duplicates by an inverted join over MinHash signature coordinates.
 
 Each different shingle set is posted under its signature's coordinate-value pairs. Two sets as alike as asked
-for agree in at least ``MATCHES`` coordinates but for about one pair in a million, so
+for agree in at least ``matches_for(alike)`` coordinates but for at most ``MISSED`` of the pairs, so
 
 - a set whose shared coordinates are fewer is skipped whole,
-- of the others only a prefix is posted, the rarest shared coordinates that leave out ``MATCHES`` - 1: two sets
-  that agree often enough meet in it,
+- of the others only a prefix is posted, the rarest shared coordinates that leave out all but one of so many:
+  two sets that agree often enough meet in it,
 - postings of one coordinate are not paired with each other. They are merged with its most connected set
   first; sets already in one component are skipped, and only sets left outside are paired with the others.
 
@@ -17,6 +17,7 @@ Equal sets are one node throughout, so exact copies cost nothing but their own r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from cohortspan.sources.staging import stage
 
 #: Words of a shingle, and the least 100 * intersection / union of linked sets.
 SHINGLE, ALIKE = 5, 85
-#: Coordinates of a signature, and of them those that two sets must agree in to be compared.
-COORDINATES, MATCHES = 96, 62
+#: Coordinates of a signature, and the share of linked pairs that may agree in too few of them to be compared.
+COORDINATES, MISSED = 96, 2e-7
 #: Characters of text that a task works on at once, and candidates whose ids are broadcast at most.
 AT_ONCE, SENT = 1_500_000, 2_000_000
 
@@ -41,6 +42,16 @@ _XOR = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches_for(alike: int) -> int:
+    """Coordinates that two sets must agree in to be compared: fewer agree in at most ``MISSED`` of the pairs at the limit."""
+    p, below = alike / 100, 0.0
+    for n in range(COORDINATES):
+        below += comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+        if below > MISSED:
+            return max(1, n)
+    return COORDINATES
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of coordinate-value pairs for each nonempty set; pairs of different coordinates are never equal by design."""
     together = np.concatenate(sets)
@@ -139,13 +150,16 @@ def linked(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     )
 
 
-def cluster(docs: DataFrame, size: int = SHINGLE, alike: int = ALIKE, matches: int = MATCHES) -> DataFrame:
+def cluster(docs: DataFrame, size: int = SHINGLE, alike: int = ALIKE, matches: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row: kept is the document with the component's smallest id.
 
+    ``alike`` is the least 100 * intersection / union of linked sets; ``matches`` follows from it.
+
     Words end at ASCII white space, A-Z are lower-cased. A text of fewer words than a shingle has one shingle of
     all of them; null, empty and blank texts have none and link with nothing. Rows with one doc_id and different
     texts link each by their text. A row without doc_id links with nothing, has no component and is kept.
     """
+    matches = matches_for(alike) if matches is None else matches
     signed = stage(_signed(docs, size), "signatures")
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc"))
     classes = stage(classes, "classes")
