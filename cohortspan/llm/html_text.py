@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
@@ -139,28 +140,53 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
     return lines
 
 
-#: Bits of the table that an alignment may take; longer pages are aligned by the lines that occur once in each.
+#: Bits of the table that an alignment may take; longer pages are cut in two where a longest alignment can be cut.
 TABLE_BITS = 1 << 28
+#: Lines of the second page that one pass over the first takes at a time, which bounds its memory.
+BLOCK = 8192
 
 
 def common_lines(a: Sequence, b: Sequence) -> set[int]:
-    """Indexes into ``a`` of one longest common subsequence of ``a`` and ``b``."""
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    shared = {*range(lead), *range(len(a) - tail, len(a))}
-    first, second = a[lead : len(a) - tail], b[lead : len(b) - tail]
-    if len(first) * len(second) > TABLE_BITS:
-        once = {x for x in set(first) & set(second) if first.count(x) == 1 and second.count(x) == 1} if len(first) < 20_000 else set()
-        first_at = [i for i, x in enumerate(first) if x in once]
-        where = {x: j for j, x in enumerate(second) if x in once}
-        return shared | {lead + first_at[k] for k in _rising([where[first[i]] for i in first_at])}
+    """Indexes into ``a`` of one longest common subsequence of ``a`` and ``b``, of any length (Hirschberg's cuts)."""
+    shared: set[int] = set()
+    todo = [([*range(len(a))], [*b])]
+    while todo:
+        at, second = todo.pop()
+        lead = 0
+        while lead < min(len(at), len(second)) and a[at[lead]] == second[lead]:
+            lead += 1
+        tail = 0
+        while tail < min(len(at), len(second)) - lead and a[at[-1 - tail]] == second[-1 - tail]:
+            tail += 1
+        shared.update(at[:lead], at[len(at) - tail :])
+        at, second = at[lead : len(at) - tail], second[lead : len(second) - tail]
+        # A line that only one of them has is in no alignment.
+        both = {a[i] for i in at}.intersection(second)
+        at, second = [i for i in at if a[i] in both], [x for x in second if x in both]
+        first = [a[i] for i in at]
+        if len(first) == 1:
+            shared.add(at[0])
+        elif len(first) * len(second) <= TABLE_BITS:
+            shared.update(at[i] for i in _aligned(first, second))
+        else:
+            half = len(first) // 2
+            gains = _lengths(first[:half], second) + _lengths(first[half:][::-1], second[::-1])[::-1]
+            cut = int(np.argmax(gains))
+            todo += [(at[:half], second[:cut]), (at[half:], second[cut:])]
+    return shared
+
+
+def _places(lines: Sequence) -> dict:
+    """Where each line is, as bits."""
     places: dict = {}
-    for j, x in enumerate(second):
+    for j, x in enumerate(lines):
         places[x] = places.get(x, 0) | 1 << j
+    return places
+
+
+def _aligned(first: Sequence, second: Sequence) -> Iterator[int]:
+    """Indexes into ``first`` of one longest common subsequence, by a table."""
+    places = _places(second)
     # Bit j of a row is 0 where the subsequence grows with second[j]; one addition handles a whole row.
     rows, row, full = [], (1 << len(second)) - 1, (1 << len(second)) - 1
     for x in first:
@@ -174,25 +200,28 @@ def common_lines(a: Sequence, b: Sequence) -> set[int]:
         elif i and not rows[i - 1] >> j & 1:
             i -= 1
         else:
-            shared.add(lead + i)
+            yield i
             i, j = i - 1, j - 1
-    return shared
 
 
-def _rising(values: list[int]) -> list[int]:
-    """Indexes of a longest rising subsequence."""
-    from bisect import bisect_left
-
-    tops, ends, before = [], [], []
-    for k, v in enumerate(values):
-        n = bisect_left(tops, v)
-        tops[n : n + 1], ends[n : n + 1] = [v], [k]
-        before.append(ends[n - 1] if n else -1)
-    out, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        out.append(k)
-        k = before[k]
-    return out[::-1]
+def _lengths(first: Sequence, second: Sequence) -> np.ndarray:
+    """Length of the longest common subsequence of ``first`` and the first j lines of ``second``, for j from 0 on.
+
+    The last row of the table, made block by block of ``second``: what an addition carries goes on to the next block.
+    """
+    grows, carried = [np.zeros(1, np.int64)], bytearray(len(first))
+    for begin in range(0, len(second), BLOCK):
+        block = second[begin : begin + BLOCK]
+        places, size = _places(block), len(block)
+        row = full = (1 << size) - 1
+        for i, x in enumerate(first):
+            met = row & places.get(x, 0)
+            total = row + met + carried[i]
+            carried[i] = total >> size
+            row = (total | (row - met)) & full
+        bits = np.frombuffer(row.to_bytes((size + 7) // 8, "little"), np.uint8)
+        grows.append(1 - np.unpackbits(bits, count=size, bitorder="little").astype(np.int64))
+    return np.cumsum(np.concatenate(grows))
 
 
 #: Neighbours' parts that share this much of the characters of the smaller one are copies of each other.

@@ -105,3 +105,24 @@ def test_site_lines_go_from_marked_articles(spark):
         assert found[i] == f"own text of {i} at length" + ("\n\nquoted" if i in (2, 3) else "")
     for i in range(4):
         assert found[10 + i] == f"Head\n\nA long passage that all have\n\n{i}"
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_alignments_in_parts_are_longest(seed, monkeypatch):
+    monkeypatch.setattr(html_text, "TABLE_BITS", 6)
+    monkeypatch.setattr(html_text, "BLOCK", 3)
+    test_common_lines_are_longest(seed)
+
+
+def test_site_lines_of_the_longest_pages():
+    """Beyond the table's size and 20,000 lines, with lines that come once and lines that come often."""
+    pages = []
+    for page, n in (("a", 24_000), ("b", 14_000)):
+        lines = [f"{page}{i}" for i in range(n)]
+        for k in range(40):
+            lines[k * 300 + 7] = f"notice {k}"
+            lines[k * 300 + 150] = "more"
+        pages.append(lines)
+    a, b = pages
+    assert (len(a) - 2) * (len(b) - 2) > html_text.TABLE_BITS
+    assert html_text.common_lines(a, b) == {k * 300 + d for k in range(40) for d in (7, 150)}
