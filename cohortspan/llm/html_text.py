@@ -8,11 +8,12 @@ before and the page after both have it there, unless two of the three are copies
 other, so one neighbour says nothing of a marked line.
 
 Pages are parsed where they lie; what is shuffled is compressed lines, in ranges of host and path, so a host
-of any size is spread over many tasks. A task holds two pages at a time.
+of any size is spread over many tasks. A task holds three pages at a time, and ids and URLs of pages with equal lines.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import json
 import re
@@ -22,11 +23,12 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.llm.common import partitions
 from cohortspan.llm.url_filter import host_of, path_of
+from cohortspan.sources.staging import stage
 
 # Element names of HTML and the roles and class words by which pages mark their parts.
 UNSEEN = "script style noscript template title textarea select iframe object svg math canvas video audio".split()
@@ -272,38 +274,113 @@ def main_text(lines: list[tuple[int, str]], neighbours: Sequence[list[tuple[int,
     return "\n\n".join(text for i, text in enumerate(part) if i not in site)
 
 
+def _digest(lines: list[tuple[int, str]]) -> bytes:
+    return xxhash.xxh3_128_digest(json.dumps([t for _, t in lines]).encode())
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = [pack.compress(json.dumps(lines_of(page)).encode()) for page in batch["html"]]
-        yield batch.drop(columns="html").assign(lines=packed)
+        parsed = [lines_of(page) for page in batch["html"]]
+        packed = [pack.compress(json.dumps(lines).encode()) for lines in parsed]
+        yield batch.drop(columns="html").assign(digest=[_digest(lines) for lines in parsed], lines=packed)
 
 
-def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    unpack = zstandard.ZstdDecompressor()
-    before: list[tuple[int, str]] | None = None  # lines of the last page of this host that is not like the held one
-    held = None
+#: Of each range the first and the last pages so many, of different lines, are known: one to be sent and one to differ from.
+ENDS = 2
+
 
-    def text_of(page: dict, after: list[tuple[int, str]] | None) -> str:
-        return main_text(page["lines"], [x for x in (before, after) if x is not None])
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """cell, host, digest, low and high: where the equal pages begin and end that come first or last of this task's pages in a cell."""
+    cells: dict[int, dict[tuple, list[str]]] = {}
+
+    def prune(known: dict[tuple, list[str]]) -> dict[tuple, list[str]]:
+        first = heapq.nsmallest(ENDS, known, key=lambda k: (known[k][0], k[1]))
+        return {k: known[k] for k in {*first, *heapq.nlargest(ENDS, known, key=lambda k: (known[k][1], k[1]))}}
 
     for batch in batches:
-        found = []
         for row in batch.itertuples(index=False):
-            lines = json.loads(unpack.decompress(row.lines))
-            page = {"id": row.page_id, "url": row.url, "place": (row.cell, row.host), "lines": lines, "guest": row.guest}
-            if held is not None:
-                near = held["place"] == page["place"]
-                if not held["guest"]:
-                    found.append((held["id"], held["url"], text_of(held, lines if near else None)))
-                if not near:
-                    before = None
-                elif [t for _, t in held["lines"]] != [t for _, t in lines]:
-                    before = held["lines"]
-            held = page
-        yield _frame(found)
-    if held is not None and not held["guest"]:
-        yield _frame([(held["id"], held["url"], text_of(held, None))])
+            known = cells.setdefault(row.cell, {})
+            ends = known.setdefault((row.host, _digest(lines_of(row.html))), [row.key, row.key])
+            ends[:] = min(ends[0], row.key), max(ends[1], row.key)
+            if len(known) > 16 * ENDS:
+                cells[row.cell] = prune(known)
+    rows = [(cell, *k, *ends) for cell, known in cells.items() for k, ends in prune(known).items()]
+    yield pd.DataFrame(rows, columns=["cell", "host", "digest", "low", "high"])
+
+
+def _guests(ends: DataFrame) -> dict[str, list[int]]:
+    """Keys of pages that are neighbours of pages in other ranges, and those ranges, from what ``_edges`` found.
+
+    The neighbour of the pages at a border is the nearest of other lines, however many ranges of equal ones lie between.
+    """
+    # Staged, as both ends are taken from it.
+    groups = stage(ends.groupBy("cell", "host", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "page-ends")
+    by = Window.partitionBy("cell")
+    low = groups.withColumn("n", F.row_number().over(by.orderBy("low", "digest"))).where(f"n <= {ENDS}").selectExpr("cell", "true AS is_low", "n", "host", "digest", "low AS key")
+    high = groups.withColumn("n", F.row_number().over(by.orderBy(F.desc("high"), F.desc("digest")))).where(f"n <= {ENDS}").selectExpr("cell", "false AS is_low", "n", "host", "digest", "high AS key")
+    found: dict[bool, dict[int, list]] = {True: {}, False: {}}
+    for r in sorted(low.union(high).collect(), key=lambda r: r["n"]):
+        found[r["is_low"]].setdefault(r["cell"], []).append(r)
+    guests: dict[str, list[int]] = {}
+    cells = sorted(found[True])
+    # Going right, the last pages of the ranges behind are neighbours of the first of the next one; going left, the other way round.
+    for order, behind, ahead in ((cells, found[False], found[True]), (cells[::-1], found[True], found[False])):
+        last: list = []  # the nearest pages behind, of different lines
+        for cell in order:
+            own = ahead[cell][0]
+            near = next((r for r in last if (r["host"], r["digest"]) != (own["host"], own["digest"])), None)
+            if near is not None and near["host"] == own["host"]:
+                guests.setdefault(near["key"], []).append(cell)
+            have = {(r["host"], r["digest"]) for r in behind[cell]}
+            last = (behind[cell] + [r for r in last if (r["host"], r["digest"]) not in have])[:ENDS]
+    return guests
+
+
+#: Characters of text that are returned at once, about, and rows.
+RETURNED, ROWS = 4_000_000, 10_000
+
+
+def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of pages sorted by cell, key and digest. Ids and URLs of a run of equal pages are held until it ends."""
+    unpack = zstandard.ZstdDecompressor()
+    node: tuple | None = None  # cell, host and digest of the run
+    run: dict[bytes, list[tuple]] = {}  # its own pages by their lines, as what marks them may differ
+    before: list[tuple[int, str]] | None = None  # lines of the last page of this host before the run
+    last: bytes = b""
+
+    def read(packed: bytes) -> list[tuple[int, str]]:
+        return [tuple(x) for x in json.loads(unpack.decompress(packed))]
+
+    def texts(after: list[tuple[int, str]] | None) -> Iterator[tuple]:
+        for packed, pages in run.items():
+            text = main_text(read(packed), [x for x in (before, after) if x is not None])
+            yield from ((*page, text) for page in pages)
+
+    def held() -> Iterator[tuple]:
+        nonlocal node, before, last
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                here = (row.cell, row.host, row.digest)
+                if here != node:
+                    near = node is not None and node[:2] == here[:2]
+                    yield from texts(read(row.lines) if near else None)
+                    before = read(last) if near else None
+                    node = here
+                    run.clear()
+                last = row.lines
+                if not row.guest:
+                    run.setdefault(row.lines, []).append((row.page_id, row.url))
+        yield from texts(None)
+
+    found, size = [], 0
+    for row in held():
+        found.append(row)
+        size += len(row[2])
+        if size > RETURNED or len(found) == ROWS:
+            yield _frame(found)
+            found, size = [], 0
+    yield _frame(found)
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
@@ -319,8 +396,8 @@ def extract(pages: DataFrame, cells: int | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     A null or empty page has an empty text. Pages without a host are neighbours of each other. Pages with equal
-    lines are no help to each other; the last page before them that differs is. Pages of equal path follow each
-    other by page_id; repeated rows are extracted each.
+    lines are no help to each other; the last page before them that differs is, and the next one after them, in whatever
+    range it lies. Pages of equal path follow each other by page_id; repeated rows are extracted each.
     """
     cells = cells or 4 * partitions(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -333,27 +410,23 @@ def extract(pages: DataFrame, cells: int | None = None) -> DataFrame:
     sample = sorted(r["key"] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(spacing)) == 0).distinct().collect())
     bounds = sorted({sample[len(sample) * i // cells] for i in range(1, cells)}) if sample else []
     cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    ends = keys.withColumn("cell", cell).groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    ends = sorted(ends.collect())
-    # The page next to a range goes there as well, as a neighbour only.
-    guests: dict[str, list[int]] = {}
-    for left, right in zip(ends, ends[1:]):
-        guests.setdefault(right["low"], []).append(left["cell"])
-        guests.setdefault(left["high"], []).append(right["cell"])
+    # Pages are parsed twice, first for where lines change at the borders: a page's neighbour may be some ranges away.
+    ends = keyed.select(cell.alias("cell"), "host", "key", "html")
+    guests = _guests(ends.mapInPandas(_edges, "cell int, host string, digest binary, low string, high string"))
     also = F.array().cast("array<int>")
     if guests:
         at = F.array_position(F.array(*map(F.lit, guests)), F.col("key")).cast("int")
         also = F.when(at > 0, F.element_at(F.array(*[F.array(*map(F.lit, v)) for v in guests.values()]), F.greatest(at, F.lit(1)))).otherwise(also)
     parsed = keyed.withColumn("cell", cell).withColumn("also", also)
-    schema = "page_id long, url string, host string, key string, cell int, also array<int>, lines binary"
+    schema = "page_id long, url string, host string, key string, cell int, also array<int>, digest binary, lines binary"
     parsed = parsed.select("page_id", "url", "host", "key", "cell", "also", "html").mapInPandas(_parse, schema)
     own = F.array(F.struct(F.col("cell").alias("cell"), F.lit(False).alias("guest")))
     others = F.transform("also", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("guest")))
-    placed = parsed.select("page_id", "url", "host", "key", "lines", F.explode(F.concat(own, others)).alias("place"))
+    placed = parsed.select("page_id", "url", "host", "key", "digest", "lines", F.explode(F.concat(own, others)).alias("place"))
     dealt = (
-        placed.select("page_id", "url", "host", "key", "lines", "place.cell", "place.guest")
+        placed.select("page_id", "url", "host", "key", "digest", "lines", "place.cell", "place.guest")
         .repartition(partitions(pages), "cell")
-        .sortWithinPartitions("cell", "key")
+        .sortWithinPartitions("cell", "key", "digest", "lines")
         .drop("key")
     )
     return dealt.mapInPandas(_difference, "page_id long, url string, text string, n_chars long")

@@ -126,3 +126,14 @@ def test_site_lines_of_the_longest_pages():
     a, b = pages
     assert (len(a) - 2) * (len(b) - 2) > html_text.TABLE_BITS
     assert html_text.common_lines(a, b) == {k * 300 + d for k in range(40) for d in (7, 150)}
+
+
+@pytest.mark.parametrize("cells", [1, 5, 40])
+def test_runs_of_copies_have_neighbours_beyond_their_range(spark, cells):
+    """Copies that open a host, that lie between others and that end it are cleaned alike, whatever ranges they fall in."""
+    page = "<p>Menu</p><p>{}</p><p>Imprint</p>"
+    own = ["first"] * 30 + ["one"] + ["middle"] * 30 + ["two"] + ["last"] * 30
+    rows = [(i, f"http://h/{i:03d}", page.format(text)) for i, text in enumerate(own)]
+    rows += [(1000 + i, f"http://alone/{i:03d}", page.format("same")) for i in range(20)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), cells).collect()}
+    assert found == {**dict(enumerate(own)), **{1000 + i: "Menu\n\nsame\n\nImprint" for i in range(20)}}
