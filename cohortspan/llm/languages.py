@@ -38,8 +38,9 @@ MOST_LANGUAGES = 500
 LONGEST_PIECE = 1024
 #: Words and scores a task remembers, counted words it holds before it passes them on, and characters it scores at once.
 REMEMBERED, HELD, AT_ONCE = 120_000, 150_000, 500_000
-#: Longer words are scored one by one with rescaling, as their probability has no double.
-LONG = 48
+#: Longer words are scored one by one with rescaling, as their probability has no double, and counted in
+#: logarithms, so many characters at once.
+LONG, LONG_AT_ONCE = 48, 100_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -116,6 +117,22 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarr
     return np.bincount(piece, share * counts[word], minlength=len(p))
 
 
+def expected_long(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What ``expected`` gives, for words of any length: both passes in logarithms."""
+    firsts, start, end, piece = lattice.edges(words)
+    cost = np.log(p)[piece]
+    ahead, back = np.zeros(firsts[-1]), np.zeros(firsts[-1])
+    for reach, source, steps in ((ahead, start, _by_step(end, firsts)), (back, end, _by_step(start, firsts)[::-1])):
+        for edges, begins, nodes in steps:
+            path = reach[source[edges]] + cost[edges]
+            top = np.maximum.reduceat(path, begins)
+            sizes = np.diff(begins, append=len(edges))
+            reach[nodes] = top + np.log(np.add.reduceat(np.exp(path - np.repeat(top, sizes)), begins))
+    word = np.searchsorted(firsts, start, side="right") - 1
+    share = np.exp(ahead[start] + cost + back[end] - ahead[firsts[1:] - 1][word])
+    return np.bincount(piece, share * counts[word], minlength=len(p))
+
+
 def log_forward_long(lattice: Lattice, word: str, p: np.ndarray) -> np.ndarray:
     """Log probability of one word of any length: the forward pass, rescaled at each node."""
     _, start, end, piece = lattice.edges([word])
@@ -192,10 +209,15 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY) -> LanguageModel | None
             lattice, used = _lattice(pieces), np.zeros_like(p)
             for batch in batches:
                 for lang, rows in batch.groupby("lang"):
-                    # A long word says too little of a language to be counted.
-                    rows = rows[rows["word"].str.len() <= LONG]
-                    if len(rows):
-                        used[:, number[lang]] += expected(lattice, rows["word"].tolist(), rows["n"].to_numpy(float), p[:, number[lang]])
+                    column, is_long = number[lang], rows["word"].str.len() > LONG
+                    short, long = rows[~is_long], rows[is_long]
+                    if len(short):
+                        used[:, column] += expected(lattice, short["word"].tolist(), short["n"].to_numpy(float), p[:, column])
+                    at = 0
+                    for part in batched(long["word"], LONG_AT_ONCE):
+                        n = long["n"].iloc[at : at + len(part)].to_numpy(float)
+                        used[:, column] += expected_long(lattice, part, n, p[:, column])
+                        at += len(part)
             piece, lang = np.nonzero(used)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": used[piece, lang]})
 

@@ -91,3 +91,19 @@ def test_odd_documents(spark, odd, none):
     assert languages.learn(none) is None
     unknown = languages.identify(documents(spark, ["some text"]), None).first()
     assert (unknown.lang_pred, unknown.score) == ("und", 0.0)
+
+
+def test_long_words_are_counted_like_short_ones():
+    pieces = languages.read_pieces(languages.VOCABULARY)
+    lattice, p = languages.Lattice(pieces), np.random.default_rng(1).random(len(pieces)) / 1000
+    words, counts = ["a", "understanding", "naïve", "日本語", "xyz" * 16], np.array([1.0, 5, 2, 3, 4])
+    assert np.allclose(languages.expected_long(lattice, words, counts, p), languages.expected(lattice, words, counts, p))
+    used = languages.expected_long(lattice, ["of" * 3000], np.array([2.0]), p)
+    assert np.isclose(used @ [len(x) or 1 for x in pieces], 2 * 6001)
+
+
+def test_languages_of_long_words_only(spark):
+    rows = [(1, "abba" * 30, "xx"), (2, "dodo" * 30, "yy"), (3, "ba" * 40, None), (4, "od" * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in languages.identify(docs, languages.learn(docs)).collect()}
+    assert found == {1: "xx", 2: "yy", 3: "xx", 4: "yy"}
