@@ -220,11 +220,11 @@ WITH RECURSIVE crc AS (
     SELECT run, n, xor(4294967295::UBIGINT, list_reduce(
         list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(id || ':' || run, ''),
             lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT] ELSE [(192 + ord(x) // 64)::UBIGINT, (128 + ord(x) % 64)::UBIGINT] END))),
-        lambda c, b: xor(c >> 8, (SELECT t FROM crc)[(1 + xor(c & 255, b))::BIGINT]))) AS h
-    FROM runs
+        lambda c, b: xor(c >> 8, t[(1 + xor(c & 255, b))::BIGINT]))) AS h
+    FROM runs, crc
 ), w AS (
     SELECT word, CAST(sum(n) AS BIGINT) AS n
-    FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+    FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
     WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
 ), cut AS (
     SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)

@@ -163,6 +163,12 @@ def near_in_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _found(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = near_in_blocks(pd.concat(held))
+    if len(out):
+        yield out
+
+
 def _look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in the order of their blocks: as many whole blocks at a time as make an index."""
     held: list[pd.DataFrame] = []
@@ -178,12 +184,12 @@ def _look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for start in np.flatnonzero(block != np.concatenate(([before], block[:-1]))):
             if carried + letters[start] - letters[at] >= INDEX:
                 held.append(batch.iloc[at:start])
-                yield near_in_blocks(pd.concat(held))
+                yield from _found(held)
                 held, at, carried = [], start, 0
         held.append(batch.iloc[at:])
         carried += int(letters[-1] - letters[at])
     if held:
-        yield near_in_blocks(pd.concat(held))
+        yield from _found(held)
 
 
 def _blocks(counted: DataFrame) -> DataFrame:
