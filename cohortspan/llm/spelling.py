@@ -76,7 +76,8 @@ def words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count: int
                             held[word] += n
                 if len(held) > HELD:
                     yield frame()
-        yield frame()
+        if held:
+            yield frame()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text").where("text IS NOT NULL")
     counted = rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
