@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import sys
 from collections.abc import Callable
 from functools import reduce
@@ -24,10 +23,13 @@ from cohortspan.sources.definitions import read_definitions  # noqa: E402
 from cohortspan.sources.staging import session_dir  # noqa: E402
 
 # The operators on documents and pages are a part of their own, which may be left out.
-llm = corpus_pipeline = None
-if importlib.util.find_spec("cohortspan.llm") and importlib.util.find_spec("corpus_pipeline"):
-    import corpus_pipeline
-    from cohortspan.llm import queries as llm
+# Whatever they need may be missing too; the other queries do without.
+try:
+    import corpus_pipeline  # noqa: E402
+    from cohortspan.llm import queries as llm  # noqa: E402
+except ImportError as missing:
+    print(f"without the operators on documents: {missing}", file=sys.stderr)
+    llm = corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 SPECS = {"disease_a": CohortSpec(disease=sample.DISEASE_A), "disease_b": CohortSpec(disease=sample.DISEASE_B)}
@@ -203,6 +205,21 @@ def _event_counts(cdm: Cdm) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+def _wide_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Numbers far apart, of both signs, nearly all of them different.
+    spread = "l_orderkey * if(l_linenumber % 2 = 0, 1000003, -7000033) + l_partkey AS days"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(spread)
+    return stats.masked_distribution(lines, "days", saturate=None)
+
+
+def _masks(cdm: Cdm, sets: DataFrame) -> DataFrame:
+    return concepts.concept_masks(sets, [sample.INDEX, sample.DRUGS, sample.DISEASE_A, sample.OTHERS, sample.DISEASE_B])
+
+
+def _firsts(cdm: Cdm) -> DataFrame:
+    return cdm.measurements().select("person_id", F.col("event_date").alias("index_date"))
+
+
 def _suite(cdm: Cdm, sets: DataFrame) -> DataFrame:
     reports = run_all(cdm, sets, SPECS, names=["days_to_diagnosis", "days_to_diagnosis_clean"])
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("report"), "*") for name, df in reports.items()])
@@ -254,6 +271,21 @@ def queries() -> dict[str, Query]:
         "require_persons": _on_sets(
             lambda cdm, sets: _dated(events.require(_everyone(cdm), _in_set(cdm, sets, sample.DISEASE_A)), "index_date")
         ),
+        "concept_set_masks": _on_sets(_masks),
+        "nearest_to_first": _on_cdm(
+            lambda spark, cdm: events.nearest_to_first(_firsts(cdm), cdm.conditions()).selectExpr("person_id", "CAST(days AS bigint) AS days")
+        ),
+        "nearest_to_first_unless_barred": _on_sets(
+            lambda cdm, sets: events.nearest_to_first_unless_barred(_firsts(cdm), _labelled(cdm, sets)).selectExpr(
+                "person_id", "CAST(days AS bigint) AS days"
+            )
+        ),
+        "days_to_first_of_cohort": _on_sets(
+            lambda cdm, sets: events.days_to_first_of_cohort(_firsts(cdm), _labelled(cdm, sets), cdm.drugs()).selectExpr(
+                "person_id", "CAST(days AS bigint) AS days"
+            )
+        ),
+        "masked_distribution_wide": _wide_distribution,
         "time_to_first_event": _on_cdm(lambda spark, cdm: events.days_to_first(_everyone(cdm), cdm.drugs())),
         "range_join_on_or_after": _on_cdm(lambda spark, cdm: events.days_on_or_after(_everyone(cdm), cdm.drugs())),
         "occurrences_per_person_concept": _on_cdm(

@@ -7,7 +7,10 @@ optionally with all its descendants, into a set or takes it out. Resolved sets a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspan.sources.definitions import checked
@@ -66,6 +69,18 @@ def concepts_of(codesets: DataFrame, *codeset_ids: int) -> DataFrame:
     return codesets.where(f"codeset_id IN ({', '.join(map(str, codeset_ids))})").select("concept_id")
 
 
+def concept_masks(codesets: DataFrame, codeset_ids: Sequence[int]) -> DataFrame:
+    """Each concept of any of these sets once, with ``sets``: bit i is set if it is in set ``codeset_ids[i]``.
+
+    One lookup then tells of an event which of up to 63 sets its concept is in.
+    """
+    if not 0 < len(codeset_ids) < 64:
+        raise ValueError("name 1 to 63 concept sets")
+    bits = " ".join(f"WHEN {s} THEN {1 << i}L" for i, s in enumerate(codeset_ids))
+    listed = codesets.where(f"codeset_id IN ({', '.join(map(str, codeset_ids))})")
+    return listed.groupBy("concept_id").agg(F.expr(f"bit_or(CASE codeset_id {bits} END)").alias("sets"))
+
+
 def difference(codesets: DataFrame, keep: int, minus: int) -> DataFrame:
     """Concepts of set ``keep`` that set ``minus`` lacks."""
     return concepts_of(codesets, keep).join(concepts_of(codesets, minus), "concept_id", "left_anti")
@@ -91,12 +106,38 @@ def stage_codesets(codesets: DataFrame, view: str | None = None) -> DataFrame:
     return staged
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def save_codesets(codesets: DataFrame, table: str, path: str | None = None) -> DataFrame:
     """Write resolved sets to a catalog table that outlives the session, replacing it.
 
-    ``path`` is where its files go, if not to the warehouse. The sets are written out before the table is
-    replaced, so they may come from the table itself.
+    Each version is written to a folder of its own under ``path`` (if none is named, next to the warehouse's tables),
+    and the table is then switched to it by a change of its location. If the write fails, the table is as
+    before; readers that have begun go on, as the version before stays until the next replacement. The
+    sets may come from the table itself. A table of that name with other columns is an error and is left alone.
     """
-    writer = stage(codesets, "codesets").write.mode("overwrite")
-    (writer.option("path", path) if path else writer).saveAsTable(table)
-    return codesets.sparkSession.table(table)
+    spark = codesets.sparkSession
+    path = path or f"{spark.conf.get('spark.sql.warehouse.dir')}/{table.replace('.', '/')}-versions"
+    rows = codesets.select(F.col("codeset_id").cast("int"), F.col("concept_id").cast("long"))
+    exists = spark.catalog.tableExists(table)
+    if exists and [f.dataType for f in spark.table(table).schema] != [f.dataType for f in rows.schema]:
+        raise ValueError(f"table {table} does not hold concept sets")
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    rows.write.parquet(version)
+    before = None
+    if exists:
+        described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+        before = described.get("Location")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{version}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"CREATE TABLE {table} (codeset_id INT, concept_id BIGINT) USING parquet LOCATION '{version}'")
+    folder, files = _folder(spark, path)
+    kept = {version.rsplit("/", 1)[1], (before or "").rstrip("/").rsplit("/", 1)[-1]}
+    for status in files.listStatus(folder):
+        if status.getPath().getName().startswith("version-") and status.getPath().getName() not in kept:
+            files.delete(status.getPath(), True)
+    return spark.table(table)

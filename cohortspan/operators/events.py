@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import closeness, days_between
-from cohortspan.operators.concepts import concepts_of
+from cohortspan.operators.concepts import concept_masks
 
 
 def events_in(events: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -27,13 +27,10 @@ def events_in(events: DataFrame, concepts: DataFrame) -> DataFrame:
 def label_events(events: DataFrame, codesets: DataFrame, wanted: int, barred: int) -> DataFrame:
     """Events of either concept set in one scan, with ``barred`` true for those outside set ``wanted``.
 
-    A concept in both sets is wanted.
+    A concept in both sets is wanted. One join to the sets: a concept's mask has a bit for each.
     """
-    either = events_in(events, concepts_of(codesets, wanted, barred))
-    known = concepts_of(codesets, wanted).withColumn("wanted", F.lit(True))
-    return either.join(known, "concept_id", "left").selectExpr(
-        "person_id", "concept_id", "event_date", "wanted IS NULL AS barred"
-    )
+    masks = concept_masks(codesets, [wanted, barred])
+    return events.join(masks, "concept_id").selectExpr("person_id", "concept_id", "event_date", "sets & 1L = 0 AS barred")
 
 
 def first_event(events: DataFrame) -> DataFrame:
@@ -161,6 +158,61 @@ def days_to_first(index: DataFrame, events: DataFrame) -> DataFrame:
     return _on_or_after(index, events).groupBy("person_id").agg(days.alias("days"))
 
 
+# The same questions for reports on whole cohorts, in one aggregation. Index events and others are put under each
+# other, tagged, and folded by person: the earliest index date, the set of days of the others, and flags. That is one
+# shuffle by person and no join. Days are combined on the map side, so a person sends each day once a task; a
+# person's set holds no more than the calendar has days.
+
+
+def _gathered(firsts: DataFrame, *tagged: DataFrame) -> DataFrame:
+    """person_id, index_date, days, barred, wanted of each person with an index date.
+
+    ``firsts`` has (person_id, index_date), any number a person; the others (person_id, day, barred).
+    """
+    rows = firsts.where("index_date IS NOT NULL").selectExpr("person_id", "index_date", "CAST(NULL AS date) AS day", "CAST(NULL AS boolean) AS barred")
+    for events in tagged:
+        rows = rows.union(events.selectExpr("person_id", "CAST(NULL AS date) AS index_date", "day", "barred"))
+    folded = rows.groupBy("person_id").agg(
+        F.min("index_date").alias("index_date"),
+        F.collect_set("day").alias("days"),
+        F.expr("bool_or(barred)").alias("barred"),
+        F.expr("bool_or(NOT barred)").alias("wanted"),
+    )
+    return folded.where("index_date IS NOT NULL")
+
+
+def _closest_day() -> Column:
+    """Signed days to the nearest of ``days``, the earlier one of two equally far; null without any."""
+    key = F.array_min(F.transform("days", lambda day: closeness(days_between(F.col("index_date"), day))))
+    # The key's last bit tells on which side the day lies.
+    return F.when(key % 2 == 1, F.floor(key / 2)).otherwise(-F.floor(key / 2)).cast("int").alias("days")
+
+
+def nearest_to_first(firsts: DataFrame, events: DataFrame) -> DataFrame:
+    """``nearest_event`` of each person to the earliest of ``firsts`` (person_id, index_date)."""
+    dated = events.where("event_date IS NOT NULL").selectExpr("person_id", "event_date AS day", "false AS barred")
+    return _gathered(firsts, dated).select("person_id", _closest_day()).where("days IS NOT NULL")
+
+
+def nearest_to_first_unless_barred(firsts: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``nearest_to_first`` leaving out persons with any barred event at any date."""
+    tagged = labelled.selectExpr("person_id", "if(barred, NULL, event_date) AS day", "barred")
+    kept = _gathered(firsts, tagged).where("NOT coalesce(barred, false)")
+    return kept.select("person_id", _closest_day()).where("days IS NOT NULL")
+
+
+def days_to_first_of_cohort(firsts: DataFrame, labelled: DataFrame, events: DataFrame) -> DataFrame:
+    """``days`` from the earliest of ``firsts`` to the first of ``events`` on or after it.
+
+    Only of persons with a wanted event and no barred one, whatever their dates; who has no such event is left out.
+    """
+    flags = labelled.selectExpr("person_id", "CAST(NULL AS date) AS day", "barred")
+    dated = events.where("event_date IS NOT NULL").selectExpr("person_id", "event_date AS day", "CAST(NULL AS boolean) AS barred")
+    kept = _gathered(firsts, flags, dated).where("wanted AND NOT barred")
+    first = F.array_min(F.filter("days", lambda day: day >= F.col("index_date")))
+    return kept.select("person_id", days_between(F.col("index_date"), first).alias("days")).where("days IS NOT NULL")
+
+
 def occurrences(events: DataFrame, by: Sequence[str] = ("person_id", "concept_id")) -> DataFrame:
     """Number of events (rows, not days) per person and concept, with the first date."""
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_date").alias("first_date"))

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from cohortspan.operators.concepts import concepts_of, difference, with_names
 from cohortspan.operators.events import (
     count_barred_events,
-    days_to_first,
+    days_to_first_of_cohort,
     events_in,
     first_event,
     label_events,
     nearest_barred_event,
-    nearest_event,
-    nearest_event_unless_barred,
-    wanted_never_barred,
+    nearest_to_first,
+    nearest_to_first_unless_barred,
 )
 from cohortspan.operators.stats import masked_counts, masked_distribution
 from cohortspan.sources.cdm import Cdm
@@ -49,17 +48,21 @@ BLADDER = CohortSpec(disease=15)
 class Parts:
     """What the reports on one cohort read: the index, labelled conditions and treatments.
 
-    A report computes those it needs; ``run_all`` stages them for all reports of a disease.
+    ``firsts`` has the dates of which a person's earliest is the index date, so that reports that fold by person
+    anyway need no index by itself. A report computes those it needs; ``run_all`` stages them for all reports of a disease.
     """
 
+    firsts: DataFrame
     index: DataFrame
     conditions: DataFrame
     treatments: DataFrame | None
 
 
 def _parts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> Parts:
+    starting = events_in(cdm.measurements(), concepts_of(codesets, spec.index))
     return Parts(
-        index=first_event(events_in(cdm.measurements(), concepts_of(codesets, spec.index))),
+        firsts=starting.select("person_id", F.col("event_date").alias("index_date")),
+        index=first_event(starting),
         # Disease diagnoses, and as barred events those of exclusion concepts.
         conditions=label_events(cdm.conditions(), codesets, wanted=spec.disease, barred=spec.other),
         treatments=events_in(cdm.drugs(), concepts_of(codesets, spec.treatment)),
@@ -71,9 +74,10 @@ def _exclusions(codesets: DataFrame, spec: CohortSpec) -> DataFrame:
 
 
 def _distribution(days: DataFrame, value: str, spec: CohortSpec, by: tuple[str, ...] = ()) -> DataFrame:
-    return masked_distribution(
-        days.withColumnRenamed("days", value), value, by=by, min_count=spec.min_count, saturate=spec.saturate
-    )
+    # Differences of dates have 32 bits, which makes their ranks cheaper; results are of the wider type.
+    short = days.select("person_id", *by, F.col("days").cast("int").alias(value))
+    found = masked_distribution(short, value, by=by, min_count=spec.min_count, saturate=spec.saturate)
+    return found.select([F.col(c).cast("long").alias(c) if c.endswith(value) else F.col(c) for c in found.columns])
 
 
 def days_to_diagnosis(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
@@ -83,14 +87,14 @@ def days_to_diagnosis(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Pa
     else:
         parts = _parts(cdm, codesets, spec)
         diagnoses = events_in(cdm.conditions(), concepts_of(codesets, spec.disease))
-    nearest = nearest_event(parts.index, diagnoses)
+    nearest = nearest_to_first(parts.firsts, diagnoses)
     return _distribution(nearest, "days_to_diag", spec)
 
 
 def days_to_diagnosis_clean(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """``days_to_diagnosis`` without persons who ever had an exclusion diagnosis."""
     parts = parts or _parts(cdm, codesets, spec)
-    nearest = nearest_event_unless_barred(parts.index, parts.conditions)
+    nearest = nearest_to_first_unless_barred(parts.firsts, parts.conditions)
     return _distribution(nearest, "days_to_diag", spec)
 
 
@@ -125,8 +129,8 @@ def time_to_treatment(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Pa
     Members need a disease diagnosis at any date; untreated members are dropped, not censored.
     """
     parts = parts or _parts(cdm, codesets, spec)
-    cohort = parts.index.join(wanted_never_barred(parts.conditions), "person_id", "left_semi")
-    return _distribution(days_to_first(cohort, parts.treatments), "days_to_treatment", spec)
+    days = days_to_first_of_cohort(parts.firsts, parts.conditions, parts.treatments)
+    return _distribution(days, "days_to_treatment", spec)
 
 
 REPORTS = {
@@ -165,7 +169,7 @@ def run_all(
         key = (spec.index, spec.disease, spec.other)
         if key not in conditions:
             conditions[key] = stage(_of_persons(fresh.conditions, index, "barred"), "conditions")
-        parts = Parts(index, conditions[key], drugs)
+        parts = Parts(index, index, conditions[key], drugs)
         found |= {f"{disease}_{name}": REPORTS[name](cdm, codesets, spec, parts) for name in names}
     return found
 

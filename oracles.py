@@ -222,6 +222,22 @@ FROM (SELECT *, false AS barred FROM dx UNION ALL SELECT *, true FROM bad) u GRO
             {**a, **_ALL_INDEX},
             "SELECT person_id, strftime(d0, '%Y-%m-%d') AS index_date FROM idx WHERE person_id IN (SELECT person_id FROM dx)",
         ),
+        "concept_set_masks": _with(
+            {}, "SELECT concept_id, CAST(sum(CASE codeset_id WHEN 6 THEN 1 WHEN 11 THEN 2 WHEN 12 THEN 4 WHEN 13 THEN 8 WHEN 15 THEN 16 END) AS BIGINT) AS sets FROM sets GROUP BY 1"
+        ),
+        "nearest_to_first": _with(everyone, "SELECT * FROM near"),
+        "nearest_to_first_unless_barred": _with({**a, **_ALL_INDEX}, f"SELECT * FROM ({_closest('dx', where=_CLEAN)}) s"),
+        "days_to_first_of_cohort": _with(
+            {**a, **_ALL_INDEX},
+            f"""SELECT person_id, min(datediff('day', d0, event_date)) AS days FROM idx JOIN drug USING (person_id)
+{_CLEAN} AND person_id IN (SELECT person_id FROM dx) AND event_date >= d0 GROUP BY person_id""",
+        ),
+        "masked_distribution_wide": _with(
+            {
+                "far": """SELECT l_orderkey::BIGINT * CASE WHEN l_linenumber % 2 = 0 THEN 1000003 ELSE -7000033 END + l_partkey AS days FROM lineitem"""
+            },
+            _spread("far", "days", cap=None),
+        ),
         "time_to_first_event": _with(
             _ALL_INDEX,
             "SELECT person_id, min(datediff('day', d0, event_date)) AS days FROM idx JOIN drug USING (person_id) WHERE event_date >= d0 GROUP BY person_id",

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cohortspan.operators.concepts import concepts_of, difference, resolve, save_codesets, stage_codesets, with_names
+from cohortspan.operators.concepts import concept_masks, concepts_of, difference, resolve, save_codesets, stage_codesets, with_names
 from cohortspan.sources.definitions import define, definitions_frame, read_concepts, read_definitions, standard_definitions
 from tests import brute
 from tests.helpers import make_codesets, values
@@ -89,6 +89,39 @@ def test_staged_and_saved_sets(spark):
     assert values(replaced) == [(2, 7)]
 
 
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    save_codesets(make_codesets(spark, {1: {5, 6}}), "held_sets", path)
+    before = spark.table("held_sets")
+    failing = make_codesets(spark, {2: set(range(100))}).selectExpr("codeset_id", "if(concept_id = 99, raise_error('lost'), concept_id) AS concept_id")
+    with pytest.raises(Exception, match="lost"):
+        save_codesets(failing, "held_sets", path)
+    assert sorted(values(spark.table("held_sets"))) == [(1, 5), (1, 6)]
+    # One who has begun to read goes on over a replacement; a set may come from the table itself.
+    save_codesets(spark.table("held_sets").where("concept_id = 5"), "held_sets", path)
+    assert sorted(values(before)) == [(1, 5), (1, 6)] and values(spark.table("held_sets")) == [(1, 5)]
+    for _ in range(3):
+        save_codesets(make_codesets(spark, {3: {1}}), "held_sets", path)
+    # The version in use and the one before it; what a failed write left is gone.
+    assert len([f for f in (tmp_path / "sets").iterdir() if f.name.startswith("version-")]) == 2
+
+
+def test_other_tables_are_not_replaced(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS no_sets (a STRING) USING parquet")
+    with pytest.raises(ValueError, match="does not hold concept sets"):
+        save_codesets(make_codesets(spark, {1: {5}}), "no_sets")
+
+
+def test_masks(spark):
+    sets = make_codesets(spark, {4: {1, 2}, 5: {2, 3}, 6: {9}})
+    assert sorted(values(concept_masks(sets, [5, 4]))) == [(1, 2), (2, 3), (3, 1)]
+    many = make_codesets(spark, {s: {7} for s in range(63)})
+    assert values(concept_masks(many, range(63))) == [(7, 2**63 - 1)]
+    for ids in ([], range(64)):
+        with pytest.raises(ValueError, match="1 to 63"):
+            concept_masks(many, ids)
+
+
 def test_definitions_from_csv(spark, tmp_path):
     rows = define(4, [1], [2], [3])
     path = str(tmp_path / "sets")

@@ -176,3 +176,31 @@ def test_tables_from_path_and_catalog(spark, tmp_path):
     for loaded in (Cdm.from_path(spark, str(tmp_path)), Cdm.from_catalog(spark, "clinic")):
         assert values(loaded.measurements()) == [(1, 5, DAY)]
         assert values(loaded.vocabulary().select("concept_name")) == [("five",)]
+
+
+def test_folding_by_person_agrees_with_joins(spark):
+    import random
+
+    from cohortspan.operators import events
+    from tests.helpers import day
+
+    rng = random.Random(8)
+
+    def some(n, *more):
+        return [(rng.randint(1, 30), None if rng.random() < 0.1 else day(rng.randint(-9, 9)), *(rng.choice(m) for m in more)) for _ in range(n)]
+
+    firsts = spark.createDataFrame(some(25), "person_id long, index_date date")
+    index = firsts.where("index_date IS NOT NULL").groupBy("person_id").agg({"index_date": "min"}).toDF("person_id", "index_date")
+    seen = spark.createDataFrame(some(60), "person_id long, event_date date")
+    labelled = spark.createDataFrame(some(60, [False, False, True], [1, 2]), "person_id long, event_date date, barred boolean, concept_id long")
+    cohort = index.join(events.wanted_never_barred(labelled), "person_id", "left_semi")
+    pairs = [
+        (events.nearest_to_first(firsts, seen), events.nearest_event(index, seen)),
+        (events.nearest_to_first_unless_barred(firsts, labelled), events.nearest_event_unless_barred(index, labelled)),
+        (events.days_to_first_of_cohort(firsts, labelled, seen), events.days_to_first(cohort, seen)),
+    ]
+    for folded, joined in pairs:
+        assert sorted(values(folded)) == sorted(values(joined)) != []
+        assert values(folded.limit(0)) == []
+    none = firsts.limit(0)
+    assert values(events.nearest_to_first(none, seen)) == values(events.days_to_first_of_cohort(none, labelled, seen)) == []

@@ -99,3 +99,45 @@ def test_threshold_zero(spark):
     found = masked_counts(frame, by=("a-b",), thresholds=(0, 1))
     assert found.columns[-2:] == ["excluded_patient_count_multiple_0", "excluded_patient_count_multiple"]
     assert values(found) == [(7, 6, 6, None)]
+
+
+@pytest.mark.parametrize("kind, bits", [("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_values_of_any_width(spark, kind, bits, keyed):
+    rng = random.Random(bits)
+    drawn = [rng.choice([rng.randrange(-(2**bits), 2**bits), rng.randrange(-3, 3)]) for _ in range(300)]
+    drawn += [-(2**bits), 2**bits - 1] * 3
+    rows = [(None if i % 3 == 0 else i % 3, v) for i, v in enumerate(drawn)]
+    frame = spark.createDataFrame(rows, "g int, days long").selectExpr("g", f"CAST(days AS {kind}) AS days")
+    found = masked_distribution(frame, "days", by=("g",) if keyed else (), saturate=None)
+    assert dict(found.dtypes)["q25_days"] == kind
+    if keyed:
+        groups = {g: [v for h, v in rows if h == g] for g in (None, 1, 2)}
+        assert {r[1]: (r[0], *r[2:]) for r in values(found)} == {g: brute.distribution(v, saturate=None) for g, v in groups.items()}
+    else:
+        assert values(found) == [brute.distribution(drawn, saturate=None)]
+
+
+def test_cumulated_in_small_steps(spark, monkeypatch):
+    # Groups of four values each, so that many levels are passed.
+    from cohortspan.operators import stats
+
+    monkeypatch.setattr(stats, "LEVEL", 2)
+    monkeypatch.setattr(stats, "KEYED", 0)
+    rng = random.Random(4)
+    rows = [(k, v, rng.randint(1, 9)) for k in (1, None) for v in rng.sample(range(-128, 128), 90)]
+    frame = spark.createDataFrame(rows, "k int, _v int, _copies long")
+    for keys in ([], ["k"]):
+        mine = frame if keys else frame.groupBy("_v").sum("_copies").toDF("_v", "_copies")
+        found = {((r["k"] if keys else 0), r["_v"]): (r["_reached"], r["_total"]) for r in stats.cumulated(mine, keys, 8).collect()}
+        expected = {}
+        for k in {k for k, *_ in rows} if keys else {0}:
+            own = Counter()
+            for g, v, n in rows:
+                if not keys or g == k:
+                    own[v] += n
+            at = 0
+            for v in sorted(own):
+                at += own[v]
+                expected[k, v] = (at, own.total())
+        assert found == expected
