@@ -4,8 +4,9 @@ Pages of one host are put in order of their URL path. The text lines of a page a
 page before it, and of the page after it, by longest common subsequence; lines that both pages have are the site's
 own and are deleted, as are lines in elements made for something else than text (menus, forms, adverts, comments).
 A page that marks its article, or else its main part, keeps nothing else. Within that part a line goes if the page
-before and the page after both have it there, unless two of the three are copies: articles are copied and quote each
-other, so one neighbour says nothing of a marked line.
+before and the page after both have it in the same place, among the first or the last lines of theirs, and most
+different pages of the host have it there, unless it is a heading or two of the three are copies: articles are copied,
+quote each other and share headlines, while what a site puts into its articles stands at the head or foot of most of them.
 
 Pages are parsed where they lie; what is shuffled is compressed lines, in ranges of host and path, so a host
 of any size is spread over many tasks. A task holds three pages at a time, and ids and URLs of pages with equal lines.
@@ -61,6 +62,9 @@ _HEADS = frozenset(("header", "masthead", "banner"))
 
 #: What a line is: in a marked article, in the marked main part of a page, in an element that is not text, or neither.
 IN_ARTICLE, IN_MAIN, IN_ASIDE, OPEN = range(4)
+#: Added to the kind of a heading in a marked part.
+HEADING = 8
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _part(name: str, attributes: str, in_article: bool) -> int:
@@ -92,13 +96,13 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
     lines: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements that say something of their text
-    kind, at = OPEN, 0
+    kind, at, heading = OPEN, 0, False
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         held.clear()
         if text:
-            lines.append((kind, text))
+            lines.append((kind + HEADING if heading and kind in (IN_ARTICLE, IN_MAIN) else kind, text))
 
     while True:
         found = _MARKUP.search(page, at)
@@ -119,6 +123,7 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
             continue
         if name in _BLOCKS:
             flush()
+            heading = name in _HEADINGS and not found[1]
         if found[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -232,14 +237,14 @@ COPIED = 0.5
 
 def _marked(lines: list[tuple[int, str]]) -> int | None:
     """By what kind of line a page marks its text, if it does."""
-    kinds = {kind for kind, _ in lines}
+    kinds = {kind % HEADING for kind, _ in lines}
     return next((k for k in (IN_ARTICLE, IN_MAIN) if k in kinds), None)
 
 
-def _part_of(lines: list[tuple[int, str]]) -> list[str]:
+def _part_of(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The lines that a page marks as its text, or else those in no element made for something else."""
     marked = _marked(lines)
-    return [t for kind, t in lines if kind == (OPEN if marked is None else marked)]
+    return [(kind, t) for kind, t in lines if kind % HEADING == (OPEN if marked is None else marked)]
 
 
 def _shared_unless_copied(a: list[str], b: list[str]) -> set[int] | None:
@@ -249,20 +254,51 @@ def _shared_unless_copied(a: list[str], b: list[str]) -> set[int] | None:
     return None if sum(len(a[i]) for i in shared) >= COPIED * size else shared
 
 
-def _site_lines(part: list[str], neighbours: list[list[str]]) -> set[int]:
-    """Indexes of the lines of a marked part that both neighbours have, if neither they nor this part are copies of each other."""
+#: Lines from the start and from the end of a marked part among which a site's own are looked for.
+PLACES = 3
+#: Different pages a host needs for most of them to say something.
+LEAST_PAGES = 3
+
+
+def _place_hash(text: str, place: int) -> int:
+    """A line in its place, counted from the start, or from the end as -1, -2 and so on, as a signed number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(f"{place} {text}".encode()), "big", signed=True)
+
+
+def _placed(part: list[tuple[int, str]]) -> dict[int, set[int]]:
+    """For the index of each line near the start or the end of a part, and no heading, its hashes in these places."""
+    out: dict[int, set[int]] = {}
+    for place in (*range(min(PLACES, len(part))), *range(-min(PLACES, len(part)), 0)):
+        kind, text = part[place]
+        if kind < HEADING:
+            out.setdefault(place % len(part), set()).add(_place_hash(text, place))
+    return out
+
+
+def _site_lines(part: list[tuple[int, str]], neighbours: list[list[tuple[int, str]]], usual: frozenset[int]) -> set[int]:
+    """Indexes of the lines of a marked part that both neighbours have in the same place and that are ``usual`` there.
+
+    None if any two of the three are copies of each other.
+    """
     if len(neighbours) < 2:
         return set()
-    before = _shared_unless_copied(part, neighbours[0])
-    after = _shared_unless_copied(part, neighbours[1]) if before else None
-    both = before & after if after else set()
-    return both if both and _shared_unless_copied(*neighbours) is not None else set()
+    theirs = [set().union(*_placed(other).values()) for other in neighbours]
+    places = {i: hashes & usual for i, hashes in _placed(part).items()}
+    places = {i for i, hashes in places.items() if hashes & theirs[0] & theirs[1]}
+    if not places:
+        return set()
+    own, one, two = ([t for _, t in lines] for lines in (part, *neighbours))
+    first, second = _shared_unless_copied(own, one), _shared_unless_copied(own, two)
+    if first is None or second is None or _shared_unless_copied(one, two) is None:
+        return set()
+    return places & first & second
 
 
-def main_text(lines: list[tuple[int, str]], neighbours: Sequence[list[tuple[int, str]]]) -> str:
+def main_text(lines: list[tuple[int, str]], neighbours: Sequence[list[tuple[int, str]]], usual: frozenset[int] = frozenset()) -> str:
     """The lines that are left, joined by empty lines. ``neighbours`` are the lines of pages to differ from.
 
-    Without a mark, a line shared with any neighbour goes. In a marked part, one shared with two neighbours does.
+    Without a mark, a line shared with any neighbour goes. In a marked part, one in the same place of two neighbours
+    does if it is ``usual`` on the host.
     """
     texts = [t for _, t in lines]
     others = [other for other in neighbours if [t for _, t in other] != texts]
@@ -270,8 +306,8 @@ def main_text(lines: list[tuple[int, str]], neighbours: Sequence[list[tuple[int,
         shared = set().union(*(common_lines(texts, [t for _, t in other]) for other in others))
         return "\n\n".join(text for i, (kind, text) in enumerate(lines) if kind == OPEN and i not in shared)
     part = _part_of(lines)
-    site = _site_lines(part, [_part_of(other) for other in others])
-    return "\n\n".join(text for i, text in enumerate(part) if i not in site)
+    site = _site_lines(part, [_part_of(other) for other in others], usual)
+    return "\n\n".join(text for i, (_, text) in enumerate(part) if i not in site)
 
 
 def _digest(lines: list[tuple[int, str]]) -> bytes:
@@ -291,22 +327,44 @@ ENDS = 2
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """cell, host, digest, low and high: where the equal pages begin and end that come first or last of this task's pages in a cell."""
+    """What the first parse is for, in two kinds of rows, of which the second have no cell.
+
+    cell, host, digest, low and high: where the equal pages begin and end that come first or last of this task's pages in a
+    cell. host, digest and places of each page that marks its text: the lines at its head and foot.
+    """
     cells: dict[int, dict[tuple, list[str]]] = {}
 
     def prune(known: dict[tuple, list[str]]) -> dict[tuple, list[str]]:
         first = heapq.nsmallest(ENDS, known, key=lambda k: (known[k][0], k[1]))
         return {k: known[k] for k in {*first, *heapq.nlargest(ENDS, known, key=lambda k: (known[k][1], k[1]))}}
 
+    columns = ["cell", "host", "digest", "low", "high", "places"]
     for batch in batches:
+        marked = []
         for row in batch.itertuples(index=False):
-            known = cells.setdefault(row.cell, {})
-            ends = known.setdefault((row.host, _digest(lines_of(row.html))), [row.key, row.key])
+            known, lines = cells.setdefault(row.cell, {}), lines_of(row.html)
+            digest = _digest(lines)
+            if _marked(lines) is not None:
+                marked.append((None, row.host, digest, None, None, sorted(set().union(*_placed(_part_of(lines)).values()))))
+            ends = known.setdefault((row.host, digest), [row.key, row.key])
             ends[:] = min(ends[0], row.key), max(ends[1], row.key)
             if len(known) > 16 * ENDS:
                 cells[row.cell] = prune(known)
-    rows = [(cell, *k, *ends) for cell, known in cells.items() for k, ends in prune(known).items()]
-    yield pd.DataFrame(rows, columns=["cell", "host", "digest", "low", "high"])
+        if marked:
+            yield pd.DataFrame(marked, columns=columns).astype({"cell": "Int32"})
+    rows = [(cell, *k, *ends, None) for cell, known in cells.items() for k, ends in prune(known).items()]
+    yield pd.DataFrame(rows, columns=columns).astype({"cell": "Int32"})
+
+
+def _usual(marked: DataFrame) -> DataFrame:
+    """(host, usual): the lines in their places that most different pages of a host have, a few for each host."""
+    # Copies count once; a host's pages are counted apart before they meet.
+    pages = marked.groupBy("host", "digest").agg(F.any_value("places").alias("places"))
+    pages = stage(pages.select(F.coalesce("host", F.lit("")).alias("host"), "places"), "page-places")
+    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= LEAST_PAGES)
+    lines = pages.select("host", F.explode("places").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    most = lines.join(total, "host").where("2 * n > n_pages")
+    return stage(most.groupBy("host").agg(F.collect_list("line").alias("usual")), "page-usual")
 
 
 def _guests(ends: DataFrame) -> dict[str, list[int]]:
@@ -315,7 +373,7 @@ def _guests(ends: DataFrame) -> dict[str, list[int]]:
     The neighbour of the pages at a border is the nearest of other lines, however many ranges of equal ones lie between.
     """
     # Staged, as both ends are taken from it.
-    groups = stage(ends.groupBy("cell", "host", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "page-ends")
+    groups = stage(ends.where("cell IS NOT NULL").groupBy("cell", "host", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "page-ends")
     by = Window.partitionBy("cell")
     low = groups.withColumn("n", F.row_number().over(by.orderBy("low", "digest"))).where(f"n <= {ENDS}").selectExpr("cell", "true AS is_low", "n", "host", "digest", "low AS key")
     high = groups.withColumn("n", F.row_number().over(by.orderBy(F.desc("high"), F.desc("digest")))).where(f"n <= {ENDS}").selectExpr("cell", "false AS is_low", "n", "host", "digest", "high AS key")
@@ -348,17 +406,18 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     run: dict[bytes, list[tuple]] = {}  # its own pages by their lines, as what marks them may differ
     before: list[tuple[int, str]] | None = None  # lines of the last page of this host before the run
     last: bytes = b""
+    usual: frozenset[int] = frozenset()  # of the host of the run
 
     def read(packed: bytes) -> list[tuple[int, str]]:
         return [tuple(x) for x in json.loads(unpack.decompress(packed))]
 
     def texts(after: list[tuple[int, str]] | None) -> Iterator[tuple]:
         for packed, pages in run.items():
-            text = main_text(read(packed), [x for x in (before, after) if x is not None])
+            text = main_text(read(packed), [x for x in (before, after) if x is not None], usual)
             yield from ((*page, text) for page in pages)
 
     def held() -> Iterator[tuple]:
-        nonlocal node, before, last
+        nonlocal node, before, last, usual
         for batch in batches:
             for row in batch.itertuples(index=False):
                 here = (row.cell, row.host, row.digest)
@@ -366,7 +425,7 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     near = node is not None and node[:2] == here[:2]
                     yield from texts(read(row.lines) if near else None)
                     before = read(last) if near else None
-                    node = here
+                    node, usual = here, frozenset(() if row.usual is None else map(int, row.usual))
                     run.clear()
                 last = row.lines
                 if not row.guest:
@@ -412,7 +471,10 @@ def extract(pages: DataFrame, cells: int | None = None) -> DataFrame:
     cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
     # Pages are parsed twice, first for where lines change at the borders: a page's neighbour may be some ranges away.
     ends = keyed.select(cell.alias("cell"), "host", "key", "html")
-    guests = _guests(ends.mapInPandas(_edges, "cell int, host string, digest binary, low string, high string"))
+    ends = ends.mapInPandas(_edges, "cell int, host string, digest binary, low string, high string, places array<long>")
+    ends = stage(ends, "page-lines")
+    guests = _guests(ends)
+    usual = _usual(ends.where("cell IS NULL").select("host", "digest", "places")).withColumnRenamed("host", "usual_host")
     also = F.array().cast("array<int>")
     if guests:
         at = F.array_position(F.array(*map(F.lit, guests)), F.col("key")).cast("int")
@@ -422,9 +484,11 @@ def extract(pages: DataFrame, cells: int | None = None) -> DataFrame:
     parsed = parsed.select("page_id", "url", "host", "key", "cell", "also", "html").mapInPandas(_parse, schema)
     own = F.array(F.struct(F.col("cell").alias("cell"), F.lit(False).alias("guest")))
     others = F.transform("also", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("guest")))
-    placed = parsed.select("page_id", "url", "host", "key", "digest", "lines", F.explode(F.concat(own, others)).alias("place"))
+    # A few lines for each host: Catalyst sends them to all tasks while the table is small.
+    parsed = parsed.join(usual, F.coalesce("host", F.lit("")) == F.col("usual_host"), "left")
+    placed = parsed.select("page_id", "url", "host", "key", "digest", "lines", "usual", F.explode(F.concat(own, others)).alias("place"))
     dealt = (
-        placed.select("page_id", "url", "host", "key", "digest", "lines", "place.cell", "place.guest")
+        placed.select("page_id", "url", "host", "key", "digest", "lines", "usual", "place.cell", "place.guest")
         .repartition(partitions(pages), "cell")
         .sortWithinPartitions("cell", "key", "digest", "lines")
         .drop("key")

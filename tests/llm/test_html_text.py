@@ -107,6 +107,22 @@ def test_site_lines_go_from_marked_articles(spark):
         assert found[10 + i] == f"Head\n\nA long passage that all have\n\n{i}"
 
 
+def test_headlines_and_stock_paragraphs_stay_in_marked_articles(spark):
+    """Shared with both neighbours: a headline and a paragraph somewhere in the text stay, a notice at the foot goes."""
+    own = lambda i, k: f"<p>sentence {k} of page {i}, which no other page has</p>"
+    rows = []
+    for i in range(6):
+        before = "".join(own(i, k) for k in range(1 + i % 3))
+        after = "".join(own(i, k) for k in range(9, 11 + i % 2))
+        page = f"<title>Daily news</title><main><h2>Daily news</h2>{before}<p>A stock phrase</p>{after}<div>Follow us</div></main>"
+        rows.append((i, f"http://h/{i:02d}", page))
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 1).collect()}
+    for i in range(6):
+        lines = found[i].split("\n\n")
+        assert lines[0] == "Daily news" and "A stock phrase" in lines
+        assert ("Follow us" in lines) == (i in (0, 5))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_alignments_in_parts_are_longest(seed, monkeypatch):
     monkeypatch.setattr(html_text, "TABLE_BITS", 6)
