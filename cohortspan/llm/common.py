@@ -15,6 +15,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTER_WORDS = re.compile(r"[^\W\d_]+")
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters of a text, lower-cased. Signs that count as numbers, such as a half or a circled one, are no letters."""
+    words = LETTER_WORDS.findall(text.lower())
+    if text.isascii() or "".join(words).isalpha():
+        return words
+    return ["".join(c for c in w if c.isalpha()) if not w.isalpha() else w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 _shipped: set[str] = set()
 
 
@@ -47,8 +55,14 @@ def in_split(name: str, modulus: int, remainder: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, the same ones at each run: those whose key hashes lowest."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+    """At most ``rows`` rows, the same ones at each run: those whose key hashes lowest.
+
+    A threshold from the number of rows leaves about twice as many, so that the last choice is small wherever it is made.
+    """
+    hashed = F.xxhash64(F.col(key))
+    share = min(1.0, 2 * rows / max(1, df.count()))
+    few = df.where(hashed <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 and rows >= 1000 else df
+    return few.orderBy(hashed, F.col(key)).limit(rows)
 
 
 def ordered_cells(df: DataFrame, key: str, cells: int) -> tuple[DataFrame, dict[int, int]]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import ahocorasick
@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import LETTER_WORDS, Numbered
+from cohortspan.llm.common import Numbered, letter_words
 from cohortspan.sources.staging import stage
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,7 +37,9 @@ MOST_LANGUAGES = 500
 #: More than the characters of any piece.
 LONGEST_PIECE = 1024
 #: Words and scores a task remembers, counted words it holds before it passes them on, and characters it scores at once.
-REMEMBERED, HELD, AT_ONCE = 120_000, 150_000, 500_000
+REMEMBERED, HELD, AT_ONCE = 150_000, 150_000, 500_000
+#: The commonest words, which are scored once and sent with the model; words scored at once.
+COMMON, SCORED = 60_000, 5_000
 #: Longer words are scored one by one with rescaling, as their probability has no double, and counted in
 #: logarithms, so many characters at once.
 LONG, LONG_AT_ONCE = 48, 100_000
@@ -150,12 +152,16 @@ def log_forward_long(lattice: Lattice, word: str, p: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Piece probabilities, a column for each language, and log shares of the languages."""
+    """Piece probabilities, a column for each language, log shares of the languages, and scores of the commonest words."""
 
     languages: list[str]
     pieces: list[str]
     p: np.ndarray
     log_share: np.ndarray
+    common: list[str] = field(default_factory=list)
+    common_scores: np.ndarray | None = None
+    #: Mean log probability of a letter of a language in that language's own commonest words.
+    usual: np.ndarray | None = None
 
 
 _lattices: dict[int, Lattice] = {}
@@ -178,7 +184,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
-            held.setdefault(lang, Counter()).update(LETTER_WORDS.findall(text.lower()))
+            held.setdefault(lang, Counter()).update(letter_words(text))
             if sum(map(len, held.values())) > HELD:
                 yield frame()
     yield frame()
@@ -230,7 +236,31 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY) -> LanguageModel | None
         total += SMOOTHING * (1 + total.sum(1, keepdims=True) / total.sum() * len(pieces)) / 2
         p = total / total.sum(0)
     documents = np.array([shares[x] for x in languages], float)
-    return LanguageModel(languages, pieces, p, np.log(documents / documents.sum()))
+    model = LanguageModel(languages, pieces, p, np.log(documents / documents.sum()))
+    # Word counts by language, which are few for each word.
+    often = counts.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    rows = often.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    model.common = [r["word"] for r in rows]
+    model.common_scores = score_words(_lattice(pieces), model.common, p)
+    summed, letters = np.zeros(len(languages)), np.full(len(languages), 1e-9)
+    for r, scores in zip(rows, model.common_scores):
+        for lang, n in r["by"]:
+            summed[number[lang]] += n * scores[number[lang]]
+            letters[number[lang]] += n * len(r["word"])
+    model.usual = summed / letters
+    return model
+
+
+def score_words(lattice: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
+    """Log probabilities of words under each language. A few at a time, as a word has some thirty edges."""
+    found = np.empty((len(words), p.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for a in range(0, len(short), SCORED):
+        part = short[a : a + SCORED]
+        found[part] = np.log(forward(lattice, [words[i] for i in part], p))
+    for i in set(range(len(words))) - set(short) if len(short) < len(words) else ():
+        found[i] = log_forward_long(lattice, words[i], p)
+    return found
 
 
 class Scorer:
@@ -238,46 +268,58 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, _lattice(model.pieces)
-        self.known = Numbered()
-        self.scores = np.zeros((0, len(model.languages)))
-
-    def _learn(self, words: list[str]) -> None:
-        """Scores of words that ``known`` has just numbered."""
-        found = np.empty((len(words), len(self.model.languages)))
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for a in range(0, len(short), 20_000):
-            part = short[a : a + 20_000]
-            found[part] = np.log(forward(self.lattice, [words[i] for i in part], self.model.p))
-        for i in set(range(len(words))) - set(short) if len(short) < len(words) else ():
-            found[i] = log_forward_long(self.lattice, words[i], self.model.p)
-        self.scores = np.concatenate((self.scores, found))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and posterior probability of each text."""
-        split = [LETTER_WORDS.findall(t.lower()) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        # The commonest words come first and stay.
+        self.known = Numbered(zip(model.common, range(len(model.common))))
+        self.scores = np.zeros((0, len(model.languages))) if model.common_scores is None else model.common_scores
+        self.fixed = len(model.common)
+
+    def totals(self, texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
+        """Log probability of each text's words under each language, and how many letters they have."""
+        split = [letter_words(t) if t else [] for t in texts]
+        if len(self.known) > self.fixed + REMEMBERED:
             # What this batch uses again stays, and with it the common words.
-            kept = list({w for words in split for w in words if w in self.known})
-            self.scores = self.scores[[self.known[w] for w in kept]]
-            self.known = Numbered(zip(kept, range(len(kept))))
-        sizes = [len(words) for words in split]
+            kept = list({w for words in split for w in words if self.known.get(w, -1) >= self.fixed})
+            self.scores = np.concatenate((self.scores[: self.fixed], self.scores[[self.known[w] for w in kept]]))
+            self.known = Numbered(zip(chain(self.model.common, kept), range(self.fixed + len(kept))))
         number = self.known.__getitem__
-        index = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number, w), np.int64, len(w)) for w in split)])
+        index = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
         if self.known.new:
-            self._learn(self.known.new)
+            self.scores = np.concatenate((self.scores, score_words(self.lattice, self.known.new, self.model.p)))
             self.known.new = []
-        out, at = [], 0
-        for n in sizes:
-            if not n:
+        return [(self.scores[at].sum(0), sum(map(len, words))) for at, words in zip(index, split)]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and posterior probability of each text."""
+        out = []
+        for total, letters in self.totals(texts):
+            if not letters:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = self.scores[index[at : at + n]].sum(0) + self.model.log_share
-            at += n
+            total = total + self.model.log_share
             best = int(np.argmax(total))
             out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
 
 
+#: Least posterior probability of a text's language, and how far its mean log probability of a letter may be below the language's own.
+LEAST_POSTERIOR, FARTHEST = 0.5, 3.0
+
+
+def fits(scorer: Scorer, texts: list[str | None]) -> list[bool]:
+    """Whether each text is in one of the languages: likelier in it than in the others, and about as likely as its own texts are.
+
+    A posterior alone says little, as of long texts one language always is by far the likeliest: another
+    language or random letters are given away by improbable words, however many there are. Texts without letters do not fit.
+    """
+    out = []
+    for total, letters in scorer.totals(texts):
+        best = int(np.argmax(total + scorer.model.log_share))
+        posterior = 1 / np.exp(total + scorer.model.log_share - (total + scorer.model.log_share)[best]).sum()
+        usual = -np.inf if scorer.model.usual is None else scorer.model.usual[best]
+        out.append(bool(letters) and posterior >= LEAST_POSTERIOR and total[best] >= (usual - FARTHEST) * letters)
+    return out
+
+
 def batched(texts: Iterable[str | None], most: int) -> Iterator[list[str | None]]:
     """Runs of texts of at most so many characters, or one longer text."""
     held, size = [], 0

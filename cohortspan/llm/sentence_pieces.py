@@ -5,6 +5,9 @@ different unit is segmented once: its substrings of bounded length are exploded
 table, the matches are grouped by unit, and a higher-order aggregate folds them from left to right into the
 best path (Viterbi). What a segmentation is worth is the sum of its pieces' scores.
 
+A unit longer than usual is cut where no piece can lie across the cut, which leaves its best path as it is; what is still
+longer then, such as a rule of thousands of equal signs, is folded where it lies.
+
 Documents do not move by word. A cell is a run of documents that lie together; it sends each different unit to
 the lattice once, gets its ids back, and is put together again with its compressed texts.
 """
@@ -16,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -29,8 +33,10 @@ from cohortspan.llm.languages import batched
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
-#: Longer units are cut every so many characters. Characters of the texts of a cell, about.
+#: Characters of a unit that goes through the lattice at most, once cut where no piece lies. Characters of the texts of a cell, about.
 LONGEST, CELL = 64, 8_000_000
+#: Units that a task passes on at once, and long paths it remembers.
+ROWS, LONG_PATHS = 20_000, 1_000
 #: Characters of text that are compressed together, and units a task remembers having sent.
 PACKED, SENT = 1_000_000, 100_000
 #: Partitions of units for each one of the session's: a unit makes some fifty rows.
@@ -44,24 +50,80 @@ PER_BYTE = 10_000_000.0
 _UNIT = re.compile(rf"{SPACE}?[^\W_]+|{SPACE}?(?:[^\w{SPACE}]|_)+|{SPACE}")
 
 
-def units_of(text: str | None) -> list[str]:
+class LongUnits:
+    """What is done with units of more than ``LONGEST`` characters, by all occurrences of pieces in them."""
+
+    def __init__(self, path: str):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.automaton, self.byte_zero = ahocorasick.Automaton(), first_byte(path)
+        for piece, i, score in _pieces(model):
+            self.automaton.add_word(piece, (len(piece), i, score))
+        self.automaton.make_automaton()
+        self.paths: dict[str, bytes] = {}
+
+    def cut(self, unit: str) -> list[str]:
+        """The unit cut at every place that no piece lies across."""
+        spanned = np.zeros(len(unit) + 1, np.int64)
+        for end, (size, _, _) in self.automaton.iter(unit):
+            spanned[end - size + 2] += 1
+            spanned[end + 1] -= 1
+        places = np.flatnonzero(np.cumsum(spanned)[1 : len(unit)] == 0) + 1
+        return [unit[a:b] for a, b in zip([0, *places], [*places, len(unit)])]
+
+    def ids(self, unit: str) -> bytes:
+        """Ids of the best path, folded as the lattice is."""
+        if unit not in self.paths:
+            if len(self.paths) >= LONG_PATHS:
+                self.paths.clear()
+            ending: dict[int, list] = {}
+            for end, (size, i, score) in self.automaton.iter(unit):
+                ending.setdefault(end + 1, []).append((end + 1 - size, i, score))
+            reached: list[tuple[float, int, int | None]] = [(0.0, 0, None)]
+            for node in range(1, len(unit) + 1):
+                edges = ending.get(node, [])
+                if not any(start == node - 1 for start, _, _ in edges):
+                    edges = [*edges, (node - 1, None, -PER_BYTE * len(unit[node - 1].encode()))]
+                reached.append(max((reached[start][0] + score, start, i) for start, i, score in edges))
+            out, at = [], len(unit)
+            while at:
+                _, start, i = reached[at]
+                spelled = [self.byte_zero + b for b in unit[start:at].encode()] if i is None else [i]
+                out += spelled[::-1]
+                at = start
+            self.paths[unit] = np.array(out[::-1], "<i4").tobytes()
+        return self.paths[unit]
+
+
+_long_units: dict[str, LongUnits] = {}
+
+
+def long_units(path: str) -> LongUnits:
+    if path not in _long_units:
+        _long_units[path] = LongUnits(path)
+    return _long_units[path]
+
+
+def units_of(text: str | None, path: str = MODEL) -> list[str]:
     """The units of a text, which joined give it back, spaces marked and one put before it."""
     if not text:
         return []
     units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
     if max(map(len, units)) <= LONGEST:
         return units
-    return [u[a : a + LONGEST] for u in units for a in range(0, len(u), LONGEST)]
+    return [part for u in units for part in (long_units(path).cut(u) if len(u) > LONGEST else [u])]
 
 
-def piece_table(spark: SparkSession, path: str = MODEL) -> DataFrame:
-    """(piece, id, score) of the pieces that text can have. Its size is that of the vocabulary file."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [
+def _pieces(model: sentencepiece.SentencePieceProcessor) -> list[tuple[str, int, float]]:
+    return [
         (model.id_to_piece(i), i, model.get_score(i) - PER_PIECE)
         for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))
     ]
+
+
+def piece_table(spark: SparkSession, path: str = MODEL) -> DataFrame:
+    """(piece, id, score) of the pieces that text can have. Its size is that of the vocabulary file."""
+    rows = _pieces(sentencepiece.SentencePieceProcessor(model_file=path))
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
@@ -132,23 +194,32 @@ def _cell(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("split", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ways))).alias("cell"))
 
 
-def _units_by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[int, set[str]] = {}
-    for batch in batches:
-        new = []
-        for cell, text in zip(batch["cell"], batch["text"]):
-            known = seen.setdefault(cell, set())
-            fresh = set(units_of(text)) - known
-            known |= fresh
-            new += [(cell, u) for u in fresh]
-            if sum(map(len, seen.values())) > SENT:
-                seen.clear()  # some units are then sent twice
-        yield pd.DataFrame(new, columns=["cell", "unit"])
+def _units_by_cell(path: str):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, set[str]] = {}
+        cells, units = [], []
+        for batch in batches:
+            for cell, text in zip(batch["cell"], batch["text"]):
+                known = seen.setdefault(cell, set())
+                fresh = set(units_of(text, path)).difference(known)
+                known |= fresh
+                short = [u for u in fresh if len(u) <= LONGEST]
+                cells += [cell] * len(short)
+                units += short
+                if len(units) > ROWS:
+                    yield pd.DataFrame({"cell": cells, "unit": units})
+                    cells, units = [], []
+                    if sum(map(len, seen.values())) > SENT:
+                        seen.clear()  # some units are then sent twice
+        if units:
+            yield pd.DataFrame({"cell": cells, "unit": units})
+
+    return work
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of documents of one cell, their ids and compressed texts in a row."""
-    pack = zstandard.ZstdCompressor(level=6)
+    pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for cell, rows in batch.groupby("cell", sort=False):
             at = 0
@@ -159,15 +230,21 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at += len(part)
 
 
-def _assemble(key: tuple, docs: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
-    unpack = zstandard.ZstdDecompressor()
-    known = dict(zip(units["unit"], units["ids"]))
-    doc_ids, out = [], []
-    for ids, packed in zip(docs["doc_ids"], docs["texts"]):
-        doc_ids += list(ids)
-        for text in json.loads(unpack.decompress(packed)):
-            out.append(np.frombuffer(b"".join([known[u] for u in units_of(text)]), "<i4"))
-    return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "ids": out})
+def _assemble(path: str):
+    def work(key: tuple, docs: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor()
+        known = dict(zip(units["unit"], units["ids"]))
+        doc_ids, out = [], []
+        for ids, packed in zip(docs["doc_ids"], docs["texts"]):
+            doc_ids += list(ids)
+            for text in json.loads(unpack.decompress(packed)):
+                found = units_of(text, path)
+                if text and any(len(u) > LONGEST for u in found):
+                    known.update((u, long_units(path).ids(u)) for u in found if len(u) > LONGEST)
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4"))
+        return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "ids": out})
+
+    return work
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -179,13 +256,13 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     pieces = piece_table(spark, path)
     most = pieces.agg(F.max(F.length("piece"))).first()[0]
     celled = _cell(docs)
-    sent = celled.mapInPandas(_units_by_cell, "cell long, unit string")
+    sent = celled.mapInPandas(_units_by_cell(path), "cell long, unit string")
     # As many cells at most as hold a unit; a common unit is in each once.
     units = sent.repartition(FINER * partitions(docs), "unit").groupBy("unit").agg(F.collect_set("cell").alias("cells"))
     found = segment(units, pieces, first_byte(path), most, ("cells",))
     found = found.select("unit", F.explode("cells").alias("cell"), "ids").mapInPandas(_as_bytes, "unit string, cell long, ids binary")
     packed = celled.mapInPandas(_packed, "cell long, doc_ids array<long>, texts binary")
-    return packed.groupBy("cell").cogroup(found.groupBy("cell")).applyInPandas(_assemble, "doc_id long, ids array<int>")
+    return packed.groupBy("cell").cogroup(found.groupBy("cell")).applyInPandas(_assemble(path), "doc_id long, ids array<int>")
 
 
 def _as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +279,8 @@ def decoder(path: str = MODEL):
         spelled.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else piece.replace(SPACE, " ").encode())
 
     def decode(ids) -> str:
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "surrogatepass")
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        text = b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
     return decode

@@ -300,6 +300,9 @@ class WordEncoder:
         kind = json.loads(self.tokenizer.to_str())
         if kind["normalizer"] or kind["post_processor"] or kind["pre_tokenizer"]["type"] != "ByteLevel" or kind["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only plain byte-level tokenizers start anew at each word")
+        # A special string in a text is found before anything else, so such a text is encoded as a whole.
+        self.path, self.whole = path, None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self.known = Numbered()
         self.starts = self.sizes = self.flat = np.zeros(0, np.int64)
@@ -347,8 +350,18 @@ class WordEncoder:
         self.starts, self.sizes = np.concatenate((self.starts, begin)), np.concatenate((self.sizes, sizes))
         self.flat = np.concatenate((self.flat, np.array(flat, np.int64)))
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, special strings being what the library takes them for by default."""
+        if texts and self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, np.int64) for e in self.whole.encode_batch(texts, add_special_tokens=False)] if texts else []
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._words(t) if t else [] for t in texts]
+        special = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)]
+        found = dict(zip(special, self._encoded([texts[i] for i in special])))
+        split = [self._words(t) if t and i not in found else [] for i, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             # What this batch uses again stays, and with it the common words.
             kept = list({w for words in split for w in words if w in self.known})
@@ -362,7 +375,10 @@ class WordEncoder:
             self._learn(self.known.new)
             self.known.new = []
         out = []
-        for at in places:
+        for i, at in enumerate(places):
+            if i in found:
+                out.append(found[i])
+                continue
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             shift = np.repeat(self.starts[at] - ends + sizes, sizes)

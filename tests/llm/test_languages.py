@@ -107,3 +107,22 @@ def test_languages_of_long_words_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r.lang_pred for r in languages.identify(docs, languages.learn(docs)).collect()}
     assert found == {1: "xx", 2: "yy", 3: "xx", 4: "yy"}
+
+
+def test_numbers_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "of the", "en"), (2, "½ ² ① 42", None), (3, "a½b", None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in languages.identify(docs, languages.learn(docs)).collect()}
+    assert found == {1: "en", 2: "und", 3: "en"}
+
+
+def test_foreign_and_random_texts_do_not_fit(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    scorer = languages.Scorer(languages.learn(docs))
+    texts = [r.text for r in docs.where("lang IS NOT NULL").collect()]
+    fit = languages.fits(scorer, texts)
+    assert all(ok for ok, t in zip(fit, texts) if len(languages.letter_words(t or "")) >= 5)
+    rng = random.Random(2)
+    random_letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (20, 2000)]
+    foreign = "Lapset leikkivät iltapäivällä puutarhassa, kun isoäiti leipoi keittiössä kakkua ja katseli ikkunasta ulos."
+    others = [foreign, foreign * 50, "Дети играли днём в саду, пока бабушка пекла на кухне пирог.", *random_letters, None, "", "½ 42"]
+    assert languages.fits(scorer, others) == [False] * len(others)

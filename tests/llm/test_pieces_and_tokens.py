@@ -41,6 +41,29 @@ def test_segments_are_best_paths(spark):
     assert found == {u: best_path(u, pieces, byte_zero, most) for u in units}
 
 
+def long_unit_texts():
+    rng = random.Random(3)
+    pieces = [p for p, _, _ in sentence_pieces._pieces(sentence_pieces.sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL))]
+    letters = [p for p in pieces if p.isalpha() and p.isascii()]
+    joined = ["".join(rng.choices(letters, k=60))[:n] for n in (65, 130, 200, 400)]
+    return [*joined, "=" * 200, "日本" * 100, "ab日" * 70, "é" * 65, "x" * 300]
+
+
+def test_long_units_have_the_best_path_of_the_whole(spark):
+    """Against a Viterbi over the uncut unit: cutting where no piece lies, and folding the rest, change nothing."""
+    pieces = {p: (i, score) for p, i, score in sentence_pieces._pieces(sentence_pieces.sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL))}
+    most, byte_zero = max(map(len, pieces)), sentence_pieces.first_byte()
+    texts = long_unit_texts()
+    found = {r.doc_id: list(r.ids) for r in sentence_pieces.encode(documents(spark, texts)).collect()}
+    cut = 0
+    for i, text in enumerate(texts):
+        (unit,) = sentence_pieces._UNIT.findall("▁" + text)
+        assert len(unit) > sentence_pieces.LONGEST
+        cut += len(sentence_pieces.units_of(text)) > 1
+        assert found[i] == best_path(unit, pieces, byte_zero, most), text
+    assert cut
+
+
 def test_round_trip(spark, odd, none):
     encoded = sentence_pieces.encode(odd)
     decoded = sentence_pieces.decode(encoded).collect()
@@ -92,7 +115,6 @@ TEXTS = ["", " ", "a", "  a  b\n\nc ", "x\ty \n z", "<|endoftext|> hi", "it's we
 def test_words_encode_like_texts(spark, monkeypatch):
     texts = TEXTS + [r.text or "" for r in spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").collect()]
     plain = Tokenizer.from_file(token_files.TOKENIZER)
-    plain.encode_special_tokens = True
     expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     encoder = token_files.WordEncoder(token_files.TOKENIZER)
     assert [x.tolist() for x in encoder(texts)] == expected

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import __spark_entry__ as registry
@@ -34,6 +36,28 @@ def test_stages(spark):
     assert set(after) == set(before) and all(len(r.ids) for r in after.values())
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows with one id are judged each by their text; of equal rows one stays; an id comes before none."""
+    rng = random.Random(1)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    first, second, third = text(), text(), text()
+    rows = [(1, first), (2, first), (2, second), (3, third), (3, third), (None, third), (None, None), (4, None), (5, ""), (None, "own words here")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int")
+    found = corpus_pipeline.unlike(spark, docs, "")
+    assert found.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in found.collect())
+    assert kept == sorted([(1, first), (2, second), (3, third), (0, ""), (4, ""), (5, ""), (0, "own words here")])
+
+
+def test_language_stage_rejects(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = "Lapset leikkivät iltapäivällä puutarhassa, kun isoäiti leipoi keittiössä kakkua ja katseli ikkunasta ulos."
+    gibberish = "xqzv wkjf qqpzz vvbnx zxcvk jhgfq wwqzx kkjxv pzqxw"
+    more = spark.createDataFrame([(-1, foreign, None), (-2, gibberish, None), (-3, None, "en")], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(more), "").collect()}
+    assert not kept & {-1, -2, -3} and len(kept) > 0.99 * docs.count()
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_documents(spark, odd, none, tmp_path, empty):
     folder = str(tmp_path)
