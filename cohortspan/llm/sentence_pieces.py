@@ -38,7 +38,7 @@ LONGEST, CELL = 64, 8_000_000
 #: Units that a task passes on at once, and long paths it remembers.
 ROWS, LONG_PATHS = 20_000, 1_000
 #: Characters of text that are compressed together, and units a task remembers having sent.
-PACKED, SENT = 1_000_000, 100_000
+PACKED, SENT = 1_000_000, 600_000
 #: Partitions of units for each one of the session's: a unit makes some fifty rows.
 FINER = 8
 #: A piece's score is its own less this: of two segmentations the one of fewer pieces is better, then the one of
@@ -219,7 +219,7 @@ def _units_by_cell(path: str):
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of documents of one cell, their ids and compressed texts in a row."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         for cell, rows in batch.groupby("cell", sort=False):
             at = 0
