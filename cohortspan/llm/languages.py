@@ -237,17 +237,31 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY) -> LanguageModel | None
         p = total / total.sum(0)
     documents = np.array([shares[x] for x in languages], float)
     model = LanguageModel(languages, pieces, p, np.log(documents / documents.sum()))
-    # Word counts by language, which are few for each word.
-    often = counts.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    rows = often.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    model.common = [r["word"] for r in rows]
+    # By grades of frequency, so that no more words reach the driver than are wanted; each language has its share.
+    graded = counts.where(F.length("word") <= LONG).withColumn("grade", F.floor(4 * F.log2("n")))
+    sizes: dict[str, dict[int, int]] = {}
+    for r in graded.groupBy("lang", "grade").agg(F.count(F.lit(1)).alias("words")).collect():
+        sizes.setdefault(r["lang"], {})[r["grade"]] = r["words"]
+    least = []
+    for lang, grades in sizes.items():
+        left = COMMON // len(languages)
+        for grade in sorted(grades, reverse=True):
+            left -= grades[grade]
+            if left < 0:
+                break
+            least.append((lang, grade))
+    wanted = docs.sparkSession.createDataFrame(least, "lang string, grade long")
+    rows = graded.join(F.broadcast(wanted), ["lang", "grade"]).select("lang", "word", "n").collect()
+    model.common = sorted({r["word"] for r in rows})
     model.common_scores = score_words(_lattice(pieces), model.common, p)
-    summed, letters = np.zeros(len(languages)), np.full(len(languages), 1e-9)
-    for r, scores in zip(rows, model.common_scores):
-        for lang, n in r["by"]:
-            summed[number[lang]] += n * scores[number[lang]]
-            letters[number[lang]] += n * len(r["word"])
-    model.usual = summed / letters
+    place = {w: i for i, w in enumerate(model.common)}
+    summed, letters = np.zeros(len(languages)), np.zeros(len(languages))
+    for r in rows:
+        own = number[r["lang"]]
+        summed[own] += r["n"] * model.common_scores[place[r["word"]], own]
+        letters[own] += r["n"] * len(r["word"])
+    # A language none of whose words is common says nothing of what is usual.
+    model.usual = np.where(letters > 0, summed / np.maximum(letters, 1), -np.inf)
     return model
 
 
