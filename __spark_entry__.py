@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
@@ -15,11 +17,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracles  # noqa: E402
 from cohortspan.functions.dates import as_date, days_between  # noqa: E402
-from cohortspan.operators import concepts, events, stats  # noqa: E402
+from cohortspan.operators import concepts, events, merging, stats  # noqa: E402
 from cohortspan.plans.reports import REPORTS, CohortSpec, run_all  # noqa: E402
 from cohortspan.sources import sample  # noqa: E402
 from cohortspan.sources.cdm import EVENT_TABLES, Cdm  # noqa: E402
 from cohortspan.sources.definitions import read_definitions  # noqa: E402
+from cohortspan.sources.screening import Screened, screen  # noqa: E402
 from cohortspan.sources.staging import session_dir  # noqa: E402
 
 # The operators on documents and pages are a part of their own, which may be left out.
@@ -220,6 +223,31 @@ def _firsts(cdm: Cdm) -> DataFrame:
     return cdm.measurements().select("person_id", F.col("event_date").alias("index_date"))
 
 
+def _misspelt(cdm: Cdm) -> Cdm:
+    """The clinical tables as text, in which some persons, concepts and dates cannot be read."""
+    tables = {}
+    for table, (concept, date) in EVENT_TABLES.items():
+        tables[table] = getattr(cdm, table).selectExpr(
+            "if(person_id % 41 = 0, 'P-' || person_id, CAST(person_id AS string)) AS person_id",
+            f"if({concept} % 13 = 5, 'c' || {concept}, CAST({concept} AS string)) AS {concept}",
+            f"if(day({date}) = 31, date_format({date}, 'dd/MM/yyyy'), CAST({date} AS string)) AS {date}",
+        )
+    return replace(cdm, **tables)
+
+
+def _screened(result: Callable[[Screened], DataFrame]) -> Query:
+    return _on_cdm(lambda spark, cdm: result(screen(_misspelt(cdm))))
+
+
+def _merged(spark: SparkSession, cdm: Cdm) -> DataFrame:
+    """Counts of two deliveries by year, the second of which has a year of the first one anew and in full."""
+    path = f"{session_dir(spark)}/merged-{uuid.uuid4().hex}"
+    happened = cdm.conditions()
+    merging.add_batches(happened.where("event_date < DATE'1995-07-01'"), path, F.year("event_date"))
+    merging.add_batches(happened.where("event_date >= DATE'1995-01-01' OR event_date IS NULL"), path, F.year("event_date"))
+    return merging.merged_occurrences(spark, path)
+
+
 def _suite(cdm: Cdm, sets: DataFrame) -> DataFrame:
     reports = run_all(cdm, sets, SPECS, names=["days_to_diagnosis", "days_to_diagnosis_clean"])
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("report"), "*") for name, df in reports.items()])
@@ -310,6 +338,11 @@ def queries() -> dict[str, Query]:
         "definitions_from_file": _on_cdm(_definitions_from_file),
         "catalog_tables": _on_cdm(_catalog_tables),
         "saved_codesets": _on_sets(_saved_sets),
+        "screened_counts": _screened(lambda found: found.counts),
+        "screened_rejects": _screened(lambda found: found.rejected),
+        "screened_events": _screened(lambda found: _event_counts(found.cdm)),
+        "merged_occurrences": _on_cdm(lambda spark, cdm: _dated(_merged(spark, cdm), "first_date")),
+        "merged_masked_counts": _on_cdm(lambda spark, cdm: stats.masked_counts(_merged(spark, cdm))),
     }
     for disease, spec in SPECS.items():
         for number, name in enumerate(REPORTS, start=1):

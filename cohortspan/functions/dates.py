@@ -17,22 +17,28 @@ def or_error(value: Column, source: Column, what: str) -> Column:
     return F.when(value.isNull() & source.isNotNull(), F.raise_error(message)).otherwise(value)
 
 
-def as_date(name: str, kind: T.DataType) -> Column:
-    """Column ``name``, which is of type ``kind``, as a date.
+def try_date(name: str, kind: T.DataType) -> Column:
+    """Column ``name``, which is of type ``kind``, as a date; null where its text spells none.
 
     A date column is passed through untouched, so filters on it still reach the Parquet scan.
-    Timestamps lose their time of day. Text must be year-month-day, with or without a time of day, or
-    ``yyyyMMdd``; other text is an error, as an event dropped or moved to another day would falsify a report.
+    Timestamps lose their time of day. Text must be year-month-day, with or without a time of day, or ``yyyyMMdd``.
     """
     if isinstance(kind, T.DateType):
         return F.col(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.col(name).cast("date")
     text = F.col(name).cast("string")
-    written = F.when(text.rlike(_SEPARATED), text.try_cast("date")).when(
+    return F.when(text.rlike(_SEPARATED), text.try_cast("date")).when(
         text.rlike(_DIGITS), F.try_to_date(F.trim(text), "yyyyMMdd")
     )
-    return or_error(written, text, "date")
+
+
+def as_date(name: str, kind: T.DataType) -> Column:
+    """``try_date``, with other text an error: an event dropped or moved to another day would falsify a report."""
+    written = try_date(name, kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return written
+    return or_error(written, F.col(name).cast("string"), "date")
 
 
 def days_between(start: Column, end: Column) -> Column:

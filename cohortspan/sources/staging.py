@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Folders of local sessions that name none.
 _local: dict[str, str] = {}
@@ -35,10 +36,14 @@ def session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under the shared folder and return the table read back."""
+def stage(df: DataFrame, label: str, by: Sequence[Column] = ()) -> DataFrame:
+    """Write ``df`` under the shared folder and return the table read back.
+
+    ``by`` are named columns of few values that are added; each of their values has a folder of its own.
+    """
+    df = df.select("*", *by)
     path = f"{session_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*df.columns[len(df.columns) - len(by) :]).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -175,6 +175,16 @@ def _set_sizes(events: str) -> str:
 FROM {events} WHERE concept_id IN (SELECT concept_id FROM sets) GROUP BY concept_id"""
 
 
+# Rows of which the person, the concept or the date cannot be read.
+_UNREADABLE = {
+    "given": """
+    SELECT *, person_id % 41 = 0 AS p, concept_id % 13 = 5 AS c, coalesce(day(event_date) = 31, false) AS d FROM (
+        SELECT 'measurement' AS event_table, * FROM meas
+        UNION ALL SELECT 'condition_occurrence', * FROM cond
+        UNION ALL SELECT 'drug_exposure', * FROM drug) u"""
+}
+
+
 def statements() -> dict[str, str]:
     a = _cohort(12)
     sets = "SELECT codeset_id, concept_id FROM sets"
@@ -278,6 +288,27 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
         "report_suite": _suite(),
         "definitions_from_file": _with({}, sets),
         "saved_codesets": _with({}, sets),
+        "screened_counts": _with(
+            _UNREADABLE,
+            """SELECT event_table, count(*) AS n_rows, count(*) FILTER (NOT (p OR c OR d)) AS n_good, count(*) FILTER (p) AS n_bad_person,
+       count(*) FILTER (c) AS n_bad_concept, count(*) FILTER (d) AS n_bad_date FROM given GROUP BY event_table""",
+        ),
+        "screened_rejects": _with(
+            _UNREADABLE,
+            """SELECT event_table, CASE WHEN p THEN 'person' WHEN c THEN 'concept' ELSE 'date' END AS reason,
+       CASE WHEN p THEN 'P-' ELSE '' END || person_id AS person_id, CASE WHEN c THEN 'c' ELSE '' END || concept_id AS concept_id,
+       CASE WHEN d THEN strftime(event_date, '%d/%m/%Y') ELSE strftime(event_date, '%Y-%m-%d') END AS event_date FROM given WHERE p OR c OR d""",
+        ),
+        "screened_events": _with(
+            _UNREADABLE,
+            """SELECT event_table, concept_id, count(*) AS n_events, count(DISTINCT person_id) AS n_persons
+FROM given WHERE NOT (p OR c OR d) GROUP BY event_table, concept_id""",
+        ),
+        "merged_occurrences": _with(
+            {},
+            "SELECT person_id, concept_id, count(*) AS n_events, strftime(min(event_date), '%Y-%m-%d') AS first_date FROM cond GROUP BY ALL",
+        ),
+        "merged_masked_counts": _with({}, _counts("cond")),
         "catalog_tables": _with(
             {},
             "\nUNION ALL\n".join(
