@@ -107,24 +107,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP10_SQL = r"""
 WITH split AS (
-    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parsed AS (
-    SELECT page_id,
+    SELECT page_id, html,
            translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
     FROM split
 ), rules(verdict, name, start) AS (
     VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
 ), ruled AS (
-    SELECT page_id, host, path,
+    SELECT page_id, host, path, html,
            (SELECT arg_max(struct_pack(rule := name || start, verdict := verdict), length(name || start)) FROM rules
             WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS hit
     FROM parsed
+), told AS (
+    SELECT host, hit,
+           regexp_matches(host, '(^|[.-])(ads|bets|casino|gambling|pills|porn|spam|viagra|xxx)([.-]|$)')
+               OR regexp_matches(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '(^|[/._-])(ads|bets|casino|gambling|pills|porn|spam|viagra|xxx)([/._-]|$)') AS spelled,
+           len(regexp_extract_all(html, '(?i)<a[ \t\r\n]')) AS links,
+           regexp_extract_all(translate(regexp_replace(html, '<[^<>]*>?', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM ruled
+), counted AS (
+    SELECT *, len(words) AS n,
+           len(list_filter(words, lambda x: x IN ('ads', 'bets', 'casino', 'gambling', 'pills', 'porn', 'spam', 'viagra', 'xxx'))) AS unwanted FROM told
+), outcomes AS (
+    SELECT host, CASE WHEN hit IS NOT NULL THEN hit.verdict = 'block'
+                      ELSE spelled OR (unwanted >= 3 AND 50 * unwanted >= n) OR (links >= 20 AND 3 * links >= n) END AS bad
+    FROM counted
 ), hosts AS (
-    SELECT host, count(*)::DOUBLE AS n,
-           sum(CASE WHEN hit IS NOT NULL THEN (hit.verdict = 'block')::INT ELSE
-               regexp_matches(host, '(^|[.-])(ads|bets|casino|gambling|pills|porn|spam|viagra|xxx)([.-]|$)')::INT END)::DOUBLE AS bad
-    FROM ruled WHERE host <> '' GROUP BY host
+    SELECT host, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS bad FROM outcomes WHERE host <> '' AND bad IS NOT NULL GROUP BY host
 ), named AS (
     SELECT *, coalesce(nullif(regexp_extract(host, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z][a-z]|[^.]+))$', 1), ''), host) AS domain FROM hosts
 ), h AS (SELECT *, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM named),

@@ -63,6 +63,38 @@ def test_given_outcomes_judge(spark):
     assert {r.page_id: r.verdict for r in found} == {1: "block", 2: "allow"}
 
 
+def page(words, spam=0, links=0):
+    return "<html><body>" + '<a href="/x">more</a> ' * links + "<p class='casino'>" + "word " * words + "casino " * spam + "</p></body></html>"
+
+
+def test_pages_are_evidence(spark):
+    clean, wordy, farm = page(200), page(60, spam=5), page(5, links=30)
+    html = [clean, wordy, farm, None, "", page(200, spam=2), page(1000, spam=5), page(200, links=30), "<a" * 9 + "< casino " * 4]
+    urls = ["http://h/x"] * len(html) + ["http://h/free-pills/1", "http://h/pillship", "http://casino.com/"]
+    pages = spark.createDataFrame([(i, u, h, "s") for i, (u, h) in enumerate(zip(urls, [*html, None, None, None]))], "page_id long, url string, html string, host string")
+    found = [r[0] for r in pages.orderBy("page_id").select(url_filter.page_is_bad(pages)).collect()]
+    assert found == [False, True, True, False, False, False, False, False, False, True, False, True]
+
+
+def test_reputation_against_the_word_list(spark):
+    """Shrinkage decides both ways: a host named like spam is allowed, and clean pages of a bad host are blocked."""
+    clean, bad = page(200), page(60, spam=5)
+    rows = [("http://good%d.site.org/%d" % (i % 20, i), clean) for i in range(400)]
+    rows += [("http://one-casino.site.org/a", clean)]
+    rows += [("http://farm%d.junk.info/%d" % (i % 10, i), bad) for i in range(200)]
+    rows += [("http://new.junk.info/%d" % i, bad if i % 10 else clean) for i in range(40)]
+    rows += [("http://large.site.org/%d" % i, bad if i % 10 == 0 else clean) for i in range(200)]
+    rows += [("http://silent.junk.info/", None)]
+    rows *= 2  # Repeated rows are counted each.
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    verdicts = {}
+    for r in url_filter.judge(pages, ()).collect():
+        verdicts.setdefault(r.host, set()).add(r.verdict)
+    assert verdicts["one-casino.site.org"] == {"allow"} == verdicts["large.site.org"] == verdicts["silent.junk.info"]
+    assert verdicts["new.junk.info"] == {"block"} == verdicts["farm3.junk.info"]
+    assert verdicts["good3.site.org"] == {"allow"}
+
+
 def test_plan_is_native(spark):
     pages = spark.createDataFrame([(1, "http://bad.com/x")], "page_id long, url string")
     plan = url_filter.judge(pages, URL_RULES)._jdf.queryExecution().executedPlan().toString()
