@@ -129,8 +129,10 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
 def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = 3, span: int = 20) -> DataFrame:
     """Where the ``terms`` rarest terms of an item stand together, in any order: doc_id, item_id, begin, end.
 
-    The rarest is the first looked up, and the others must lie less than ``span`` words from it. Items of
-    which a chosen term occurs nowhere, and items with fewer different terms, do not match.
+    The rarest is the first looked up, and the others must lie less than ``span`` words from it; of equally rare terms
+    the smaller one is taken. ``begin`` and ``end`` enclose all of their places there. Items of which a chosen term occurs
+    nowhere, and items with fewer different terms, do not match. Null texts and items have no words, equal rows
+    of either table count once in the result, and a null id is a value like any other.
     """
     split = stage(_items(items), "benchmark-items")
     each = split.select("item_key", "item_id", F.explode("words").alias("term")).distinct()
@@ -139,14 +141,19 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = 3, span: i
         "item_key", "item_id", "term", "row_number() OVER (PARTITION BY item_key ORDER BY coalesce(n, 0), term) AS rank"
     )
     wanted = stage(ranked.where(F.col("rank") <= terms), "benchmark-rarest")
-    index = stage(postings(docs, wanted, 0).select("term", "doc_id", "text_key", "pos"), "postings")
+    # Equal rows have equal places, which would meet each other.
+    index = stage(postings(docs, wanted, 0).select("term", "doc_id", "text_key", "pos").distinct(), "postings")
     placed = index.join(wanted, "term").withColumn("cell", F.floor(F.col("pos") / span))
     first = placed.where("rank = 1").select(
         "doc_id", "text_key", "item_key", F.col("pos").alias("at"), F.explode(F.expr("array(cell - 1, cell, cell + 1)")).alias("cell")
     )
-    near = first.join(placed.where("rank > 1"), ["doc_id", "text_key", "item_key", "cell"]).where(F.abs(F.col("pos") - F.col("at")) < span)
     if terms == 1:
         return placed.selectExpr("doc_id", "item_id", "pos AS begin", "pos + 1 AS end").distinct()
+    others = placed.where("rank > 1").withColumnRenamed("doc_id", "other_id")
+    near = (
+        first.join(others, ["text_key", "item_key", "cell"])
+        .where(F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.abs(F.col("pos") - F.col("at")) < span))
+    )
     return (
         near.groupBy("doc_id", "text_key", "item_key", "item_id", "at")
         .agg(F.count_distinct("rank").alias("others"), F.min("pos").alias("low"), F.max("pos").alias("high"))

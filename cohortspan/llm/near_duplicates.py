@@ -9,8 +9,9 @@ for agree in at least ``matches_for(alike)`` coordinates but for at most ``MISSE
 - postings of one coordinate are not paired with each other. They are merged with its most connected set
   first; sets already in one component are skipped, and only sets left outside are paired with the others.
 
-What meets is checked on full shingle sets. Before that, shingles that no other candidate has bound how alike
-two sets can be, which spares nearly all of the pairs of a large group whose members drifted apart.
+Of two sets that meet, the coordinates in which they collide are counted on their signatures; pairs with fewer than the
+threshold go, and the others are checked on full shingle sets. Before that, shingles that no other candidate has bound how
+alike two sets can be, which spares nearly all of the pairs of a large group whose members drifted apart.
 Equal sets are one node throughout, so exact copies cost nothing but their own row.
 """
 
@@ -103,11 +104,10 @@ def postings(signed: DataFrame, matches: int) -> DataFrame:
 
     ``links`` says how connected a set is: how often its coordinate-value pairs occur over all sets.
     """
-    shared = (
-        signed.select("doc", F.explode("signature").alias("pair"))
-        .selectExpr("pair", "doc", "count(1) OVER (PARTITION BY pair) AS sets")
-        .where("sets > 1")
-    )
+    posts = signed.select("doc", F.explode("signature").alias("pair"))
+    # Counted on the map side first, and joined back: adaptive execution splits the posts of a hot pair.
+    held = posts.groupBy("pair").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    shared = posts.join(held, "pair")
     ranked = shared.selectExpr(
         "pair",
         "doc",
@@ -137,6 +137,15 @@ def _lacking(outside: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFra
     return wanted.join(held, ["main", "shingle"], "left_anti").groupBy("doc", "main").agg(F.count(F.lit(1)).alias("lacks"))
 
 
+def colliding(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures (doc, signature) agree in at least ``matches`` coordinates."""
+    first = signed.select(F.col("doc").alias("a"), F.col("signature").alias("s"))
+    second = signed.select(F.col("doc").alias("b"), F.col("signature").alias("t"))
+    # Values carry their coordinate, so that those in common are the coordinates that agree.
+    agreeing = F.size(F.array_intersect("s", "t"))
+    return pairs.join(first, "a").join(second, "b").where(agreeing >= matches).select("a", "b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     first = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s"))
@@ -166,11 +175,13 @@ def cluster(docs: DataFrame, size: int = SHINGLE, alike: int = ALIKE, matches: i
     firsts = signed.select("doc_id", "set_key", "signature").join(
         classes.withColumnRenamed("set_key", "k"), (F.col("doc_id") == F.col("doc")) & (F.col("set_key") == F.col("k"))
     )
-    posted = stage(postings(firsts.dropDuplicates(["set_key"]).select("doc", "signature"), matches), "postings")
+    firsts = firsts.dropDuplicates(["set_key"]).select("doc", "signature")
+    posted = stage(postings(firsts, matches), "postings")
     wanted = stage(posted.select("doc").distinct(), "candidates")
     # One id each; beyond the bound the texts are shuffled to the ids instead.
     chosen = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    signs = stage(firsts.join(chosen, "doc", "left_semi"), "candidate-signatures")
     sets = stage(_sets(texts.join(chosen, F.col("doc_id") == F.col("doc"), "left_semi"), size), "sets")
 
     own = sets.select("doc", F.explode("shingles").alias("shingle")).groupBy("shingle")
@@ -184,7 +195,7 @@ def cluster(docs: DataFrame, size: int = SHINGLE, alike: int = ALIKE, matches: i
     hubs = hubs.select("pair", "h.hub", F.col("h.hub_n").alias("n"), F.col("h.hub_own").alias("own"))
     spokes = near.alias("x").join(hubs.alias("y"), F.expr(f"x.pair = y.pair AND x.doc <> y.hub AND {_may_link('x', 'y', alike)}"))
     spokes = spokes.select(F.col("x.doc").alias("a"), F.col("y.hub").alias("b")).distinct()
-    links = stage(linked(spokes, sets, alike), "links")
+    links = stage(linked(colliding(spokes, signs, matches), sets, alike), "links")
 
     grouped = components(links).withColumnRenamed("node", "doc")
     prefixes = near.groupBy("doc").agg(F.collect_list("pair").alias("prefix"))
@@ -207,7 +218,7 @@ def cluster(docs: DataFrame, size: int = SHINGLE, alike: int = ALIKE, matches: i
         ),
     )
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    found = components(links.union(linked(rest, sets, alike)))
+    found = components(links.union(linked(colliding(rest, signs, matches), sets, alike)))
 
     named = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(found, F.col("doc") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id"))

@@ -37,6 +37,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.proximity_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).selectExpr(
+        "doc_id", "item_id", "CAST(begin AS bigint) AS begin_word", "CAST(end AS bigint) AS end_word"
+    )
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_token_counts": op11_token_counts,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_ranked_search": op13_ranked_search,
+    "proximity_matches": proximity_matches,
 }
 
 
@@ -195,6 +202,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
 """
 
+_PROXIMITY_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL.format(text="text")} AS w FROM documents
+), placed AS (
+    SELECT r, doc_id, unnest(range(len(w))) AS p, unnest(w) AS term FROM d
+), items AS (
+    SELECT DISTINCT item_id, {_WORDS_SQL.format(text="text")} AS w FROM benchmark
+), terms AS (
+    SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(w) AS term FROM (SELECT *, row_number() OVER () AS i FROM items))
+), counts AS (
+    SELECT term, count(*) AS n FROM placed WHERE term IN (SELECT term FROM terms) GROUP BY term
+), chosen AS (
+    SELECT * FROM (SELECT i, item_id, term, row_number() OVER (PARTITION BY i ORDER BY coalesce(n, 0), term) AS rank FROM terms LEFT JOIN counts USING (term))
+    WHERE rank <= 3
+), found AS (
+    SELECT r, doc_id, i, item_id, rank, p FROM placed JOIN chosen USING (term)
+), near AS (
+    SELECT a.r, a.doc_id, a.i, a.item_id, a.p AS place, b.rank, b.p
+    FROM found a JOIN found b ON a.r = b.r AND a.i = b.i AND a.rank = 1 AND b.rank > 1 AND abs(a.p - b.p) < 20
+)
+SELECT DISTINCT doc_id, item_id, least(place, min(p)) AS begin_word, greatest(place, max(p)) + 1 AS end_word
+FROM near GROUP BY r, doc_id, i, item_id, place HAVING count(DISTINCT rank) = 2
+"""
+
 _OP2_SQL = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -288,4 +319,5 @@ ORACLES: dict[str, str] = {
     "op10_url_filter": _OP10_SQL,
     "op12_spelling_variants": _OP12_SQL,
     "op13_ranked_search": _OP13_SQL,
+    "proximity_matches": _PROXIMITY_SQL,
 }

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -78,6 +79,44 @@ def test_proximity(spark):
     assert {(r.begin, r.end) for r in found if r.doc_id == 0} == {(0, 6)}
 
 
+def brute_proximity(rows, items, terms=3, span=20):
+    own = [(d, words(t)) for d, t in rows]
+    counts, found = Counter(w for _, ws in own for w in ws), set()
+    for item_id, item in items:
+        rarest = sorted(set(words(item)), key=lambda w: (counts[w], w))[:terms]
+        if len(rarest) < terms:
+            continue
+        for d, ws in own:
+            for at in [p for p, w in enumerate(ws) if w == rarest[0]]:
+                near = {w: [p for p, x in enumerate(ws) if x == w and abs(p - at) < span] for w in rarest[1:]}
+                if all(near.values()):
+                    places = [at, *[p for ps in near.values() for p in ps]]
+                    found.add((d, item_id, min(places), max(places) + 1))
+    return found
+
+
+@pytest.mark.parametrize("seed, terms, span", [(0, 3, 20), (1, 2, 5), (2, 1, 9), (3, 4, 40)])
+def test_proximity_against_brute_force(spark, seed, terms, span):
+    texts, items = made_up(seed)
+    rows = [*enumerate(texts), *list(enumerate(texts))[:9], (None, texts[3]), (None, texts[4]), (1, texts[5]), (99, None), (98, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.proximity_matches(spark.createDataFrame(rows, "doc_id long, text string"), benchmark, terms, span).collect()
+    assert len(found) == len(set(found))
+    assert {tuple(r) for r in found} == brute_proximity(rows, items, terms, span)
+
+
+def test_proximity_in_odd_documents(spark, odd, none):
+    items = [(1, "brown fox jumps"), (2, "lorem ipsum dolor"), (None, "text without words"), (3, None), (4, "two texts"), (1, "brown fox jumps")]
+    benchmark = with_clashes(spark.createDataFrame(items, "item_id long, text string"))
+    found = decontamination.proximity_matches(odd, benchmark).collect()
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    short = [(d, t if len(t or "") < 9_000 else "") for d, t in rows]
+    assert {tuple(r) for r in found if r.doc_id != 7} == {f for f in brute_proximity(short, items)}
+    assert sum(r.doc_id == 7 for r in found) == 12_000
+    assert decontamination.proximity_matches(none, benchmark).count() == 0
+    assert decontamination.proximity_matches(odd, benchmark.limit(0)).count() == 0
+
+
 def test_plan_is_native(spark, odd):
     benchmark = spark.createDataFrame([(1, "brown fox")], "item_id long, text string")
     plan = decontamination.contamination(odd, benchmark)._jdf.queryExecution().executedPlan().toString()

@@ -64,6 +64,22 @@ def test_against_brute_force(spark, seed):
     assert {tuple(r) for r in found} == brute(texts) and len(found) == len(texts)
 
 
+def test_collisions_are_counted(spark):
+    rows = [(1, list(range(96))), (2, list(range(62)) + list(range(100, 134))), (3, list(range(61)) + list(range(200, 235)))]
+    signed = spark.createDataFrame(rows, "doc long, signature array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 2), (1, 1)], "a long, b long")
+    assert {tuple(r) for r in near_duplicates.colliding(pairs, signed, 62).collect()} == {(1, 2), (1, 1)}
+    assert {tuple(r) for r in near_duplicates.colliding(pairs, signed, 61).collect()} == {(1, 2), (1, 1), (1, 3), (2, 3), (3, 2)}
+
+
+def test_pairs_are_counted_without_a_window(spark):
+    signed = spark.createDataFrame([(1, [1, 2]), (2, [2, 3])], "doc long, signature array<long>")
+    found = near_duplicates.postings(signed, 1)
+    assert {tuple(r) for r in found.collect()} == {(2, 1, 2), (2, 2, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("windowspecdefinition(pair" not in line for line in plan.splitlines())
+
+
 def test_one_large_group(spark):
     rng = random.Random(5)
     base, texts = words(rng, 146), {}
