@@ -22,6 +22,7 @@ from cohortspan.plans.reports import REPORTS, CohortSpec, run_all  # noqa: E402
 from cohortspan.sources import sample  # noqa: E402
 from cohortspan.sources.cdm import EVENT_TABLES, Cdm  # noqa: E402
 from cohortspan.sources.definitions import read_definitions  # noqa: E402
+from cohortspan.sources.layout import lay_out  # noqa: E402
 from cohortspan.sources.screening import Screened, screen  # noqa: E402
 from cohortspan.sources.staging import session_dir  # noqa: E402
 
@@ -44,6 +45,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _staged: dict[tuple[str, str], DataFrame] = {}
 # The clinical tables, which are plain views of the given ones.
 _views: dict[tuple[str, str], Cdm] = {}
+# The same, laid out by concept.
+_laid: dict[tuple[str, int], Cdm] = {}
 
 
 def _cdm(spark: SparkSession, sf_dir: str) -> Cdm:
@@ -200,6 +203,15 @@ def _narrowed(cdm: Cdm, sets: DataFrame) -> DataFrame:
     return _event_counts(cdm.narrowed(sets))
 
 
+def _laid_out(cdm: Cdm) -> Cdm:
+    """The clinical tables in folders by part of the concept, written once a session."""
+    spark = cdm.concept.sparkSession
+    key = (spark.sparkContext.applicationId, id(cdm))
+    if key not in _laid:
+        _laid[key] = lay_out(cdm, f"{session_dir(spark)}/laid-out-{uuid.uuid4().hex}", parts=64)
+    return _laid[key]
+
+
 def _event_counts(cdm: Cdm) -> DataFrame:
     tables = {"measurement": cdm.measurements(), "condition_occurrence": cdm.conditions(), "drug_exposure": cdm.drugs()}
     counted = [
@@ -299,6 +311,10 @@ def queries() -> dict[str, Query]:
         "require_persons": _on_sets(
             lambda cdm, sets: _dated(events.require(_everyone(cdm), _in_set(cdm, sets, sample.DISEASE_A)), "index_date")
         ),
+        "laid_out_events": _on_sets(lambda cdm, sets: _dated(_in_set(_laid_out(cdm), sets, sample.DISEASE_A), "event_date")),
+        "laid_out_days_to_diagnosis_clean": _on_sets(
+            lambda cdm, sets: REPORTS["days_to_diagnosis_clean"](_laid_out(cdm), sets, SPECS["disease_a"])
+        ),
         "concept_set_masks": _on_sets(_masks),
         "nearest_to_first": _on_cdm(
             lambda spark, cdm: events.nearest_to_first(_firsts(cdm), cdm.conditions()).selectExpr("person_id", "CAST(days AS bigint) AS days")

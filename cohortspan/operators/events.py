@@ -17,11 +17,19 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions.dates import closeness, days_between
 from cohortspan.operators.concepts import concept_masks
+from cohortspan.sources.cdm import concept_part, part_columns
+
+
+def _meet(events: DataFrame, concepts: DataFrame, how: str) -> DataFrame:
+    """Join by concept, and by its part where events are laid out by one, so that other folders are not read."""
+    parts = part_columns(events)
+    keyed = concepts.select("*", *[concept_part("concept_id", n).alias(c) for c, n in parts.items()])
+    return events.join(keyed, ["concept_id", *parts], how).drop(*parts)
 
 
 def events_in(events: DataFrame, concepts: DataFrame) -> DataFrame:
     """Events whose concept is listed. Catalyst moves the semi join down to the scan of the concept."""
-    return events.join(concepts.select("concept_id"), "concept_id", "left_semi")
+    return _meet(events, concepts.select("concept_id"), "left_semi")
 
 
 def label_events(events: DataFrame, codesets: DataFrame, wanted: int, barred: int) -> DataFrame:
@@ -30,7 +38,7 @@ def label_events(events: DataFrame, codesets: DataFrame, wanted: int, barred: in
     A concept in both sets is wanted. One join to the sets: a concept's mask has a bit for each.
     """
     masks = concept_masks(codesets, [wanted, barred])
-    return events.join(masks, "concept_id").selectExpr("person_id", "concept_id", "event_date", "sets & 1L = 0 AS barred")
+    return _meet(events, masks, "inner").selectExpr("person_id", "concept_id", "event_date", "sets & 1L = 0 AS barred")
 
 
 def first_event(events: DataFrame) -> DataFrame:

@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 from cohortspan.operators.concepts import concepts_of, difference, with_names
 from cohortspan.operators.events import (
     count_barred_events,
+    days_to_first,
     days_to_first_of_cohort,
     events_in,
     first_event,
     label_events,
     nearest_barred_event,
+    nearest_event,
+    nearest_event_unless_barred,
     nearest_to_first,
     nearest_to_first_unless_barred,
+    wanted_never_barred,
 )
 from cohortspan.operators.stats import masked_counts, masked_distribution
 from cohortspan.sources.cdm import Cdm
-from cohortspan.sources.staging import stage
+from cohortspan.sources.staging import stage_by
 
 
 @dataclass(frozen=True)
@@ -50,12 +54,14 @@ class Parts:
 
     ``firsts`` has the dates of which a person's earliest is the index date, so that reports that fold by person
     anyway need no index by itself. A report computes those it needs; ``run_all`` stages them for all reports of a disease.
+    Staged parts are bucketed by person: there joins by person move nothing, while a union of parts would lose the buckets.
     """
 
     firsts: DataFrame
     index: DataFrame
     conditions: DataFrame
     treatments: DataFrame | None
+    staged: bool = False
 
 
 def _parts(cdm: Cdm, codesets: DataFrame, spec: CohortSpec) -> Parts:
@@ -87,14 +93,17 @@ def days_to_diagnosis(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Pa
     else:
         parts = _parts(cdm, codesets, spec)
         diagnoses = events_in(cdm.conditions(), concepts_of(codesets, spec.disease))
-    nearest = nearest_to_first(parts.firsts, diagnoses)
+    nearest = nearest_event(parts.index, diagnoses) if parts.staged else nearest_to_first(parts.firsts, diagnoses)
     return _distribution(nearest, "days_to_diag", spec)
 
 
 def days_to_diagnosis_clean(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Parts | None = None) -> DataFrame:
     """``days_to_diagnosis`` without persons who ever had an exclusion diagnosis."""
     parts = parts or _parts(cdm, codesets, spec)
-    nearest = nearest_to_first_unless_barred(parts.firsts, parts.conditions)
+    if parts.staged:
+        nearest = nearest_event_unless_barred(parts.index, parts.conditions)
+    else:
+        nearest = nearest_to_first_unless_barred(parts.firsts, parts.conditions)
     return _distribution(nearest, "days_to_diag", spec)
 
 
@@ -129,7 +138,11 @@ def time_to_treatment(cdm: Cdm, codesets: DataFrame, spec: CohortSpec, parts: Pa
     Members need a disease diagnosis at any date; untreated members are dropped, not censored.
     """
     parts = parts or _parts(cdm, codesets, spec)
-    days = days_to_first_of_cohort(parts.firsts, parts.conditions, parts.treatments)
+    if parts.staged:
+        members = parts.index.join(wanted_never_barred(parts.conditions), "person_id", "left_semi")
+        days = days_to_first(members, parts.treatments)
+    else:
+        days = days_to_first_of_cohort(parts.firsts, parts.conditions, parts.treatments)
     return _distribution(days, "days_to_treatment", spec)
 
 
@@ -149,7 +162,8 @@ def run_all(
 
     Staged are: the index of each index set, the treatments of its persons if a report asks for them, and for
     each disease the labelled conditions of its persons, equal events once with their number. Each event
-    table is read once for each of these, and not at all if no report asks.
+    table is read once for each of these, and not at all if no report asks. What is staged is bucketed by
+    person, so the reports join and fold it by person where it lies.
     """
     indexes: dict[int, DataFrame] = {}
     treatments: dict[tuple[int, int], DataFrame] = {}
@@ -158,18 +172,18 @@ def run_all(
     for disease, spec in specs.items():
         fresh = _parts(cdm, codesets, spec)
         if spec.index not in indexes:
-            indexes[spec.index] = stage(fresh.index, "index")
+            indexes[spec.index] = stage_by(fresh.index, "index", "person_id")
         index = indexes[spec.index]
         drugs = None
         if "time_to_treatment" in names:
             key = (spec.index, spec.treatment)
             if key not in treatments:
-                treatments[key] = stage(_of_persons(fresh.treatments, index), "treatments")
+                treatments[key] = stage_by(_of_persons(fresh.treatments, index), "treatments", "person_id")
             drugs = treatments[key]
         key = (spec.index, spec.disease, spec.other)
         if key not in conditions:
-            conditions[key] = stage(_of_persons(fresh.conditions, index, "barred"), "conditions")
-        parts = Parts(index, index, conditions[key], drugs)
+            conditions[key] = stage_by(_of_persons(fresh.conditions, index, "barred"), "conditions", "person_id")
+        parts = Parts(index, index, conditions[key], drugs, staged=True)
         found |= {f"{disease}_{name}": REPORTS[name](cdm, codesets, spec, parts) for name in names}
     return found
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -21,6 +22,20 @@ VOCABULARY_TABLES = {
     "concept": ("concept_id", "concept_name", "invalid_reason"),
     "concept_ancestor": ("ancestor_concept_id", "descendant_concept_id"),
 }
+#: Name, but for the number of parts, of the column by which ``layout.lay_out`` lays out event tables.
+PART_COLUMN = "concept_part_"
+
+
+def concept_part(concept: str, parts: int) -> Column:
+    """Which of so many parts a concept is in; null without a concept."""
+    part = F.pmod(F.xxhash64(F.col(concept).cast("long")), F.lit(parts)).cast("int")
+    return F.when(F.col(concept).isNotNull(), part)
+
+
+def part_columns(df: DataFrame) -> dict[str, int]:
+    """The columns of ``df`` that are parts of concepts, with the number of parts."""
+    named = {c: re.fullmatch(PART_COLUMN + "([1-9][0-9]*)", c.lower()) for c in df.columns}
+    return {c: int(found[1]) for c, found in named.items() if found}
 
 
 def _require(table: str, df: DataFrame, columns: tuple[str, ...]) -> None:
@@ -90,7 +105,11 @@ class Cdm:
             lambda name: reader.load(f"{vocabulary_path}/{name}"),
         )
 
-    def _events(self, table: str) -> DataFrame:
+    def events(self, table: str) -> DataFrame:
+        """An event table in one shape: person_id, concept_id, event_date, and the concept's part if it is laid out by one.
+
+        An event of no person counts for nobody. Dates are left as they are: operators that need one drop rows without.
+        """
         df = getattr(self, table)
         concept, date = EVENT_TABLES[table]
         kind = {field.name.lower(): field.dataType for field in df.schema}
@@ -98,19 +117,17 @@ class Cdm:
             _as_long("person_id", kind["person_id"]).alias("person_id"),
             _as_long(concept, kind[concept]).alias("concept_id"),
             as_date(date, kind[date]).alias("event_date"),
+            *part_columns(df),
         ).where("person_id IS NOT NULL")
 
-    # The three event tables in one shape: person_id, concept_id, event_date. An event of no person
-    # counts for nobody. Dates are left as they are: operators that need one drop rows without.
-
     def measurements(self) -> DataFrame:
-        return self._events("measurement")
+        return self.events("measurement")
 
     def conditions(self) -> DataFrame:
-        return self._events("condition_occurrence")
+        return self.events("condition_occurrence")
 
     def drugs(self) -> DataFrame:
-        return self._events("drug_exposure")
+        return self.events("drug_exposure")
 
     def vocabulary(self) -> DataFrame:
         return self.concept if self.vocabulary_concept is None else self.vocabulary_concept
@@ -125,7 +142,8 @@ class Cdm:
         cut = {}
         for table in tables:
             concept, date = EVENT_TABLES[table]
-            events = self._events(table).join(concepts, "concept_id", "left_semi")
+            # Columns of parts go, as the result is not laid out by them.
+            events = self.events(table).select("person_id", "concept_id", "event_date").join(concepts, "concept_id", "left_semi")
             cut[table] = stage(events, table).select(
                 "person_id", F.col("concept_id").alias(concept), F.col("event_date").alias(date)
             )

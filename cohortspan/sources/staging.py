@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 # Folders of local sessions that name none.
 _local: dict[str, str] = {}
+# Bucketed tables of each application, by their names in the catalog.
+_catalogued: dict[str, list[str]] = {}
+_TABLES = "cohortspan_staged_"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +50,26 @@ def stage(df: DataFrame, label: str, by: Sequence[Column] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, label: str, key: str, buckets: int | None = None) -> DataFrame:
+    """``stage`` as a table bucketed by ``key``: tables staged with one number of buckets meet and are grouped without a shuffle.
+
+    ``buckets`` is ``spark.sql.shuffle.partitions`` if not given. Each is one file, so rows must have been reduced to
+    what one task can take of a key; a null key is one bucket's. The table is known to the session's catalog by a
+    name of its own until ``drop_staged``, as buckets are a property of catalog tables.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{_TABLES}{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    # Rows that are already shuffled by the key to as many partitions stay where they are.
+    rows = df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{session_dir(spark)}/{name}").saveAsTable(name)
+    _catalogued.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete all tables that this session has staged; whether there were any. None of them can be read afterwards."""
+    for name in _catalogued.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

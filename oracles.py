@@ -210,6 +210,10 @@ def statements() -> dict[str, str]:
         "events_in_codeset": _with(
             a, "SELECT person_id, concept_id, strftime(event_date, '%Y-%m-%d') AS event_date FROM dx"
         ),
+        "laid_out_events": _with(
+            a, "SELECT person_id, concept_id, strftime(event_date, '%Y-%m-%d') AS event_date FROM dx"
+        ),
+        "laid_out_days_to_diagnosis_clean": _with(_report_steps(12), _spread("r2", "days_to_diag")),
         "labelled_events": _with(
             a,
             """SELECT barred, concept_id, count(*) AS n_events, count(DISTINCT person_id) AS n_persons

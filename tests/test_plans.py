@@ -124,8 +124,8 @@ def test_tables_that_are_staged(stored, monkeypatch, names, labels):
     from cohortspan.plans import reports
 
     seen = []
-    staged = reports.stage
-    monkeypatch.setattr(reports, "stage", lambda df, label: seen.append(label) or staged(df, label))
+    staged = reports.stage_by
+    monkeypatch.setattr(reports, "stage_by", lambda df, label, key: seen.append(label) or staged(df, label, key))
     cdm, codesets = stored
     reports.run_all(cdm, codesets, {"a": CohortSpec(disease=12), "b": CohortSpec(disease=15)}, names)
     assert sorted(seen) == labels
