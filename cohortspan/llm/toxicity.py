@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a text: words of a fixed lexicon, words and word stems whose documents labels mark as
-toxic far more often than others, and patterns of shouting. A generative label model estimates how often each
-voter fires in toxic and in clean texts, by expectation maximisation in which the labels are one more voter; of
-correlated voters only the strongest counts, so that a word and its stem are no two witnesses. The posterior labels
+toxic far more often than others, and patterns of shouting. A generative label model estimates from the votes alone how
+often each voter fires in toxic and in clean texts, by expectation maximisation. Correlations are modelled by a tree: a
+voter's rates depend on whether its parent fires, so that a word and its stem are no two witnesses. Of the labels the
+model is told only which share of texts is toxic. Its posterior labels
 train a linear classifier on the votes and their number, which scores every whole text where it lies.
 
 Voters, label model and classifier are fitted on a bounded sample of labelled rows; only pattern counts
@@ -31,8 +32,6 @@ TOXIC, CLEAN = 6_000, 12_000
 VOTERS, LEAST_DOCUMENTS, LEAST_RATIO = 600, 5, 30.0
 STEMS = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.5
-#: How often labels are taken to be right.
-LABELS_RIGHT = 0.99
 #: Figures that sum up a text's votes.
 SUMMARY = 5
 # Insults of four languages that vote from the start.
@@ -62,7 +61,6 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class ToxicityModel:
     voters: list[str]
     odds: np.ndarray
-    clusters: np.ndarray
     weights: np.ndarray  # one for each voter, then those of the summary of the votes
     number: dict[str, int] = field(init=False)
 
@@ -83,53 +81,77 @@ class ToxicityModel:
 
     def __call__(self, text: str | None) -> float:
         votes = self.votes(text)
-        return float(_sigmoid(self.weights[votes].sum() + _summary(votes, self.odds, self.clusters) @ self.weights[len(self.voters) :]))
-
-
-def _summary(fired: Sequence[int], odds: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Of a text's votes: the strongest log odds, their sum over clusters, the logarithm of their number, any, and 1."""
-    best: dict[int, float] = {}
-    for i in fired:
-        best[number[i]] = max(best.get(number[i], 0.0), odds[i])
-    top = max(best.values(), default=0.0)
-    return np.array([top, math.sqrt(sum(best.values())), math.log1p(len(fired)), float(len(fired) > 0), 1.0])
-
-
-def clusters(votes: np.ndarray, q: np.ndarray, least: float = 0.3) -> np.ndarray:
-    """A number for each voter; voters that are correlated within the toxic class, weighted by ``q``, share one."""
-    centred = (votes - q @ votes / q.sum()) * np.sqrt(q)[:, None]
-    centred /= np.sqrt((centred**2).sum(0)) + 1e-9
-    near = centred.T @ centred > least
-    number = np.full(votes.shape[1], -1)
-    for i in np.argsort(-votes.sum(0), kind="stable"):
-        if number[i] < 0:
-            number[near[i] & (number < 0)] = i
-            number[i] = i
-    return number
-
-
-def label_model(votes: np.ndarray, start: np.ndarray, passes: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior probability that each row is toxic, and each voter's log odds and cluster.
-
-    ``start`` has what the rows' own labels say; they are one more voter, never silent. A voter that does not fire abstains. Within a cluster of
-    correlated voters only the strongest that fires counts; rows without any vote share one rate.
+        return float(_sigmoid(self.weights[votes].sum() + _summary(votes, self.odds) @ self.weights[len(self.voters) :]))
+
+
+def _summary(fired: Sequence[int], odds: np.ndarray) -> np.ndarray:
+    """Of a text's votes: the strongest log odds, the root of their sum, the logarithm of their number, any, and 1."""
+    speaking = np.maximum(odds[list(fired)], 0.0)
+    return np.array([speaking.max(initial=0.0), math.sqrt(speaking.sum()), math.log1p(len(fired)), float(len(fired) > 0), 1.0])
+
+
+def dependencies(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Each voter's parent, or -1: the tree of greatest mutual information of neighbours, given the class (toxic by ``q``)."""
+    gain = np.zeros((votes.shape[1],) * 2)
+    for weight in (q, 1 - q):
+        total = weight.sum() + 1e-9
+        both = votes.T @ (votes * weight[:, None]) / total
+        one = np.diag(both).copy()
+        a, b = one[:, None], one[None, :]
+        for joint, apart in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+            joint = np.maximum(joint, 1e-12)
+            gain += total * joint * np.log(joint / np.maximum(apart, 1e-12))
+    parent = np.full(len(gain), -1)
+    reach, best, outside, node = parent.copy(), np.full(len(gain), -np.inf), np.ones(len(gain), bool), 0
+    for _ in gain:
+        outside[node], parent[node] = False, reach[node]
+        closer = outside & (gain[node] > best)
+        best[closer], reach[closer] = gain[node][closer], node
+        node = int(np.argmax(np.where(outside, best, -np.inf)))
+    return parent
+
+
+def _balanced(evidence: np.ndarray, prior: float) -> np.ndarray:
+    """Probabilities with these log odds, moved alike, of which the mean is ``prior``."""
+    low, high = -100.0 - evidence.max(initial=0), 100.0 - evidence.min(initial=0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(evidence + middle).mean() < prior else (low, middle)
+    return _sigmoid(evidence + high)
+
+
+def label_model(votes: np.ndarray, prior: float, passes: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior probability that each row is toxic, each voter's log odds, and its parent in the tree of dependencies.
+
+    ``prior`` is the share of toxic rows; no row's own label is known. To begin with, rows with most votes are taken for
+    toxic, as many as that share. A voter that does not fire abstains; one that does never speaks for a clean text, whether its
+    parent fires or not. How many fire is a witness of its own.
     """
-    q, none = start, votes.sum(1) == 0
+    number = votes.sum(1)
+    bucket = np.minimum(number, 4).astype(int)
+    at = max(1.0, np.sort(number)[::-1][min(len(number) - 1, int(prior * len(number)))])
+    q = np.where(number > at, 0.95, np.where(number == at, 0.7, 0.02))
     for _ in range(passes):
-        toxic, clean = q.sum(), (1 - q).sum()
-        odds = np.log(((q @ votes + 0.1) / (toxic + 1)) / (((1 - q) @ votes + 0.5) / (clean + 1)))
-        number = clusters(votes, q)
-        order = np.argsort(number, kind="stable")
-        firsts = np.flatnonzero(np.diff(number[order], prepend=-1))
-        evidence = np.maximum.reduceat(np.where(votes[:, order] > 0, odds[order], 0.0), firsts, axis=1).sum(1)
-        silent = np.log(((q @ none + 0.5) / (toxic + 1)) / (((1 - q) @ none + 0.5) / (clean + 1)))
-        q = _sigmoid(np.log((toxic + 1) / (clean + 1)) + np.where(none, silent, evidence) + np.log(start / (1 - start)))
-    return q, odds, number
-
-
-def fit_linear(votes: np.ndarray, odds: np.ndarray, number: np.ndarray, q: np.ndarray, steps: int = 500, rate: float = 0.03) -> np.ndarray:
+        parent = dependencies(votes, q)
+        with_parent = votes * votes[:, np.maximum(parent, 0)] * (parent >= 0)
+        fires = votes[:, np.maximum(parent, 0)] * (parent >= 0)
+        overall = [(w @ votes + 0.1) / (w.sum() + 1) for w in (q, 1 - q)]
+        together = [(w @ with_parent + o) / (w @ fires + 1) for w, o in zip((q, 1 - q), overall)]
+        alone = [(w @ (votes - with_parent) + o) / (w @ (1 - fires) + 1) for w, o in zip((q, 1 - q), overall)]
+        by_parent, by_itself = (np.maximum(np.log(toxic / clean), 0.0) for toxic, clean in (together, alone))
+        counts = [np.bincount(bucket, w, 5) + 0.1 for w in (q, 1 - q)]
+        said = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+        before = q
+        q = _balanced(with_parent @ by_parent + (votes - with_parent) @ by_itself + said[bucket], prior)
+        if np.abs(q - before).mean() < 1e-4:
+            break
+    odds = np.log(((q @ votes + 0.1) / (q.sum() + 1)) / (((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)))
+    return q, odds, parent
+
+
+def fit_linear(votes: np.ndarray, odds: np.ndarray, q: np.ndarray, steps: int = 500, rate: float = 0.03) -> np.ndarray:
     """Weights of a logistic regression on votes and their summary that follows the posterior labels ``q``."""
-    x = np.hstack((votes, np.array([_summary(np.flatnonzero(v), odds, number) for v in votes])))
+    x = np.hstack((votes, np.array([_summary(np.flatnonzero(v), odds) for v in votes])))
     w, first, second = (np.zeros(x.shape[1]) for _ in range(3))
     for step in range(1, steps + 1):
         grad = x.T @ (_sigmoid(x @ w) - q) / len(x) + 1e-5 * w
@@ -169,13 +191,14 @@ def find_voters(rows: DataFrame) -> list[str]:
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model from (doc_id, toxic) labels; toxic 1 is toxic.
 
+    Labels choose the voters and tell the share of toxic texts; the label model is not told which rows are toxic.
     Null labels and null ids are left out, and a doc_id counts once, as toxic if it has both labels. Without
     toxic labels only the fixed lexicon votes, each word enough by itself.
     """
     rows = _labelled(docs, labels)
     voters = list(dict.fromkeys([*LEXICON, *SHOUTS, *find_voters(rows)]))
-    flat, alone = np.zeros(len(voters)), np.arange(len(voters))
-    blank = ToxicityModel(voters, flat, alone, np.zeros(len(voters) + SUMMARY))
+    flat = np.zeros(len(voters))
+    blank = ToxicityModel(voters, flat, np.zeros(len(voters) + SUMMARY))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,12 +208,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     seen = cast.mapInPandas(vote, "toxic long, votes array<int>").toPandas()
     if not len(seen) or not seen["toxic"].any():
         lexicon = [4.0 if v in LEXICON else 0.0 for v in voters]
-        return ToxicityModel(voters, flat, alone, np.array([*lexicon, *[0.0] * (SUMMARY - 1), -2.0]))
+        return ToxicityModel(voters, flat, np.array([*lexicon, *[0.0] * (SUMMARY - 1), -2.0]))
     votes = np.zeros((len(seen), len(voters)))
     for i, fired in enumerate(seen["votes"]):
         votes[i, list(fired)] = 1
-    q, odds, number = label_model(votes, np.where(seen["toxic"] == 1, LABELS_RIGHT, 1 - LABELS_RIGHT))
-    return ToxicityModel(voters, odds, number, fit_linear(votes, odds, number, q))
+    q, odds, _ = label_model(votes, float((seen["toxic"] == 1).mean()))
+    return ToxicityModel(voters, odds, fit_linear(votes, odds, q))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

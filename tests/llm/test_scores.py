@@ -1,5 +1,7 @@
 """Quality and toxicity."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -38,18 +40,65 @@ def test_the_risk_is_bounded_below():
         assert model(bad).mean() < 0.5 and (prior > 0.8 or (model(bad) < 0.5).mean() > 0.9)
 
 
-def test_label_model_finds_the_good_voters():
+def made_up_votes(n=4000):
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.2
-    good = [np.where(y, rng.random(4000) < 0.5, rng.random(4000) < 0.01) for _ in range(4)]
-    copy = good[0].copy()
-    noise = rng.random(4000) < 0.1
-    votes = np.stack([*good, copy, noise], axis=1).astype(float)
-    start = np.where(rng.random(4000) < 0.9, np.where(y, 0.9, 0.1), 0.5)
-    q, odds, number = toxicity.label_model(votes, start)
-    assert ((q > 0.5) == y).mean() > 0.95
-    assert number[0] == number[4] and len(set(number)) == 5
-    assert odds[:5].min() > 2 > abs(odds[5])
+    y = rng.random(n) < 0.2
+    good = [np.where(y, rng.random(n) < 0.6, rng.random(n) < 0.01) for _ in range(6)]
+    noise = rng.random(n) < 0.1
+    return y, np.stack([*good, noise, good[0]], axis=1).astype(float)
+
+
+def test_label_model_finds_the_good_voters_without_labels():
+    y, votes = made_up_votes()
+    q, odds, parent = toxicity.label_model(votes, y.mean())
+    assert ((q > 0.5) == y).mean() > 0.96 and abs(q.mean() - y.mean()) < 0.01
+    assert odds[[0, 1, 2, 3, 4, 5, 7]].min() > 2 > abs(odds[6])
+    assert parent[7] == 0 or parent[0] == 7
+
+
+def test_a_copied_voter_is_no_second_witness():
+    y, votes = made_up_votes()
+    q, _, _ = toxicity.label_model(votes, y.mean())
+    alone, _, _ = toxicity.label_model(votes[:, :7], y.mean())
+    # One good voter and its copy say no more than another good voter and the noise do.
+    pair = (votes[:, [0, 7]].sum(1) == 2) & (votes.sum(1) == 2)
+    assert pair.any() and q[pair].max() < 0.9
+    assert ((q > 0.5) == (alone > 0.5)).mean() > 0.97
+
+
+def test_the_tree_against_all_trees():
+    """Of all trees of four voters, none has more mutual information."""
+    rng = np.random.default_rng(3)
+    first = rng.random(500) < 0.4
+    votes = np.stack([first, first ^ (rng.random(500) < 0.1), rng.random(500) < 0.3, first ^ (rng.random(500) < 0.3)], axis=1).astype(float)
+    q = rng.random(500)
+
+    def shared(i, j):
+        total = 0.0
+        for weight in (q, 1 - q):
+            for a, b in itertools.product((0, 1), repeat=2):
+                both = weight[(votes[:, i] == a) & (votes[:, j] == b)].sum() / weight.sum()
+                apart = weight[votes[:, i] == a].sum() * weight[votes[:, j] == b].sum() / weight.sum() ** 2
+                total += weight.sum() * both * np.log(both / apart)
+        return total
+
+    def is_tree(edges):
+        reached = {0}
+        for _ in edges:
+            reached |= {v for e in edges if reached & set(e) for v in e}
+        return len(reached) == 4
+
+    pairs = list(itertools.combinations(range(4), 2))
+    best = max(sum(shared(*e) for e in edges) for edges in itertools.combinations(pairs, 3) if is_tree(edges))
+    parent = toxicity.dependencies(votes, q)
+    assert sum(parent < 0) == 1
+    assert sum(shared(i, p) for i, p in enumerate(parent) if p >= 0) == pytest.approx(best)
+
+
+def test_label_model_without_votes_or_of_one_voter():
+    for votes in (np.zeros((10, 3)), np.ones((10, 1)), np.eye(4)[:, :1]):
+        q, odds, _ = toxicity.label_model(votes, 0.3)
+        assert np.isfinite(q).all() and np.isfinite(odds).all() and ((0 <= q) & (q <= 1)).all()
 
 
 def test_figures():
