@@ -160,7 +160,7 @@ class LanguageModel:
     log_share: np.ndarray
     common: list[str] = field(default_factory=list)
     common_scores: np.ndarray | None = None
-    #: Mean log probability of a letter of a language in that language's own commonest words.
+    #: Mean log probability of a letter of a language in all words of that language's own texts; none if not asked for.
     usual: np.ndarray | None = None
 
 
@@ -197,8 +197,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, vocabulary: str = VOCABULARY) -> LanguageModel | None:
-    """A model of the languages in column ``lang`` of ``docs``; none if no row has both a language and letters."""
+def _usual(counts: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Mean log probability of a letter of each language, over all of its words (lang, word, n) as often as they occur."""
+    number = {lang: i for i, lang in enumerate(model.languages)}
+    sent = counts.sparkSession.sparkContext.broadcast((model.pieces, model.p))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, p = sent.value
+        lattice, total, letters = _lattice(pieces), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+        for batch in batches:
+            for lang, rows in batch.groupby("lang"):
+                column, n = number[lang], rows["n"].to_numpy(float)
+                total[column] += n @ score_words(lattice, rows["word"].tolist(), p[:, [column]])[:, 0]
+                letters[column] += n @ rows["word"].str.len().to_numpy(float)
+        yield pd.DataFrame({"lang": np.arange(p.shape[1]), "total": total, "letters": letters})
+
+    summed = counts.mapInPandas(weigh, "lang long, total double, letters double").groupBy("lang").agg(F.sum("total").alias("total"), F.sum("letters").alias("letters"))
+    usual = np.full(len(number), -np.inf)
+    for r in summed.where("letters > 0").collect():
+        usual[r["lang"]] = r["total"] / r["letters"]
+    # A language without words says nothing of what is usual.
+    return usual
+
+
+def learn(docs: DataFrame, vocabulary: str = VOCABULARY, usual: bool = True) -> LanguageModel | None:
+    """A model of the languages in column ``lang`` of ``docs``; none if no row has both a language and letters.
+
+    What is ``usual`` takes one more pass over the counted words, which ``fits`` needs and ``identify`` does not.
+    """
     pieces = read_pieces(vocabulary)
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -251,17 +277,11 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY) -> LanguageModel | None
                 break
             least.append((lang, grade))
     wanted = docs.sparkSession.createDataFrame(least, "lang string, grade long")
-    rows = graded.join(F.broadcast(wanted), ["lang", "grade"]).select("lang", "word", "n").collect()
-    model.common = sorted({r["word"] for r in rows})
+    rows = graded.join(F.broadcast(wanted), ["lang", "grade"]).select("word").distinct().collect()
+    model.common = sorted(r["word"] for r in rows)
     model.common_scores = score_words(_lattice(pieces), model.common, p)
-    place = {w: i for i, w in enumerate(model.common)}
-    summed, letters = np.zeros(len(languages)), np.zeros(len(languages))
-    for r in rows:
-        own = number[r["lang"]]
-        summed[own] += r["n"] * model.common_scores[place[r["word"]], own]
-        letters[own] += r["n"] * len(r["word"])
-    # A language none of whose words is common says nothing of what is usual.
-    model.usual = np.where(letters > 0, summed / np.maximum(letters, 1), -np.inf)
+    if usual:
+        model.usual = _usual(counts, model)
     return model
 
 

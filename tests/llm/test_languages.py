@@ -126,3 +126,16 @@ def test_foreign_and_random_texts_do_not_fit(spark):
     foreign = "Lapset leikkivät iltapäivällä puutarhassa, kun isoäiti leipoi keittiössä kakkua ja katseli ikkunasta ulos."
     others = [foreign, foreign * 50, "Дети играли днём в саду, пока бабушка пекла на кухне пирог.", *random_letters, None, "", "½ 42"]
     assert languages.fits(scorer, others) == [False] * len(others)
+
+
+def test_what_is_usual_comes_from_all_words(spark, monkeypatch):
+    rng = random.Random(4)
+    rare = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(50)]
+    rows = [(1, "the of " * 40, "en"), (2, " ".join(rare), "en"), (3, "x" + "yz" * 40, "en"), (4, "der die " + " ".join(rare[:9]), "de"), (5, "12", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(languages, "COMMON", 9)
+    model = languages.learn(docs)
+    for column, lang in enumerate(model.languages):
+        words = [w for _, t, own in rows if own == lang for w in languages.letter_words(t)]
+        scores = languages.score_words(languages.Lattice(model.pieces), words, model.p)[:, column]
+        assert np.isclose(model.usual[column], scores.sum() / sum(map(len, words)) if words else -np.inf)
