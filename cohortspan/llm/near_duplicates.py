@@ -36,7 +36,7 @@ SHINGLE, ALIKE = 5, 85
 #: Coordinates of a signature, and the share of linked pairs that may agree in too few of them to be compared.
 COORDINATES, MISSED = 96, 2e-7
 #: Characters of text that a task works on at once, and candidates whose ids are broadcast at most.
-AT_ONCE, SENT = 1_500_000, 2_000_000
+AT_ONCE, SENT = 400_000, 2_000_000
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)

@@ -77,8 +77,10 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group_"))
     members = stage(found.join(numbered.select(row, F.col("doc_id").cast("long").alias("id_")), row), "near-duplicates")
     first = members.groupBy("group_").agg(F.min(F.struct(F.col("id_").isNull(), "id_", row)).alias("first_"))
-    gone = members.join(first, "group_").where(F.col(row) != F.col(f"first_.{row}")).select(row)
-    return numbered.join(gone, row, "left_anti").select(docs.columns)
+    gone = stage(members.join(first, "group_").where(F.col(row) != F.col(f"first_.{row}")).select(row), "repeated")
+    # One number each, so that texts stay where they lie; beyond the bound they are shuffled to the numbers instead.
+    chosen = F.broadcast(gone) if gone.count() <= near_duplicates.SENT else gone
+    return numbered.join(chosen, row, "left_anti").select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

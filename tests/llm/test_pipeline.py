@@ -49,6 +49,23 @@ def test_near_duplicates_by_row(spark):
     assert kept == sorted([(1, first), (2, second), (3, third), (0, ""), (4, ""), (5, ""), (0, "own words here")])
 
 
+def test_near_duplicates_leaves_texts_where_they_lie(spark, monkeypatch):
+    """Few rows that go are sent to the texts; many meet them in a shuffle, and the rows that stay are the same."""
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i % 4}") for i in range(12)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = corpus_pipeline.unlike(spark, docs, "")
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(corpus_pipeline.near_duplicates, "SENT", 3)
+        many = corpus_pipeline.unlike(spark, docs, "")
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(i, f"one two three four five six seven {i}") for i in range(4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_language_stage_rejects(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     foreign = "Lapset leikkivät iltapäivällä puutarhassa, kun isoäiti leipoi keittiössä kakkua ja katseli ikkunasta ulos."
