@@ -37,8 +37,10 @@ SPACE = "▁"
 LONGEST, CELL = 64, 8_000_000
 #: Units that a task passes on at once, and long paths it remembers.
 ROWS, LONG_PATHS = 20_000, 1_000
-#: Characters of text that are compressed together, and units a task remembers having sent.
+#: Characters of text that are compressed together, and units of a cell that a task remembers having sent.
 PACKED, SENT = 1_000_000, 600_000
+#: Units that a task deals out to cells at once, counted once for each cell.
+DEALT = 300_000
 #: Partitions of units for each one of the session's: a unit makes some fifty rows.
 FINER = 8
 #: A piece's score is its own less this: of two segmentations the one of fewer pieces is better, then the one of
@@ -195,12 +197,15 @@ def _cell(docs: DataFrame) -> DataFrame:
 
 
 def _units_by_cell(path: str):
+    """The different units of each cell, whose rows come together; one at a time is remembered."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, set[str]] = {}
+        at, known = None, set()
         cells, units = [], []
         for batch in batches:
             for cell, text in zip(batch["cell"], batch["text"]):
-                known = seen.setdefault(cell, set())
+                if cell != at:
+                    at, known = cell, set()
                 fresh = set(units_of(text, path)).difference(known)
                 known |= fresh
                 short = [u for u in fresh if len(u) <= LONGEST]
@@ -209,8 +214,8 @@ def _units_by_cell(path: str):
                 if len(units) > ROWS:
                     yield pd.DataFrame({"cell": cells, "unit": units})
                     cells, units = [], []
-                    if sum(map(len, seen.values())) > SENT:
-                        seen.clear()  # some units are then sent twice
+                    if len(known) > SENT:
+                        known.clear()  # some units are then sent twice
         if units:
             yield pd.DataFrame({"cell": cells, "unit": units})
 
@@ -233,7 +238,9 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _assemble(path: str):
     def work(key: tuple, docs: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
-        known = dict(zip(units["unit"], units["ids"]))
+        known: dict[str, bytes] = {}
+        for names, found in zip(units["units"], units["ids"]):
+            known.update(_unfold(json.loads(unpack.decompress(names)), unpack.decompress(found)))
         doc_ids, out = [], []
         for ids, packed in zip(docs["doc_ids"], docs["texts"]):
             doc_ids += list(ids)
@@ -256,18 +263,50 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     pieces = piece_table(spark, path)
     most = pieces.agg(F.max(F.length("piece"))).first()[0]
     celled = _cell(docs)
-    sent = celled.mapInPandas(_units_by_cell(path), "cell long, unit string")
+    sent = celled.sortWithinPartitions("cell").mapInPandas(_units_by_cell(path), "cell long, unit string")
     # As many cells at most as hold a unit; a common unit is in each once.
     units = sent.repartition(FINER * partitions(docs), "unit").groupBy("unit").agg(F.collect_set("cell").alias("cells"))
     found = segment(units, pieces, first_byte(path), most, ("cells",))
-    found = found.select("unit", F.explode("cells").alias("cell"), "ids").mapInPandas(_as_bytes, "unit string, cell long, ids binary")
+    found = found.select("unit", "cells", "ids").mapInPandas(_by_cell, "cell long, units binary, ids binary")
     packed = celled.mapInPandas(_packed, "cell long, doc_ids array<long>, texts binary")
     return packed.groupBy("cell").cogroup(found.groupBy("cell")).applyInPandas(_assemble(path), "doc_id long, ids array<int>")
 
 
-def _as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segmented units dealt out to their cells: for each cell a row of many units, compressed, with their ids."""
+    pack = zstandard.ZstdCompressor()
     for batch in batches:
-        yield batch.assign(ids=[np.asarray(x, "<i4").tobytes() for x in batch["ids"]])
+        held: dict[int, list[int]] = {}
+        names, ids, n = batch["unit"].tolist(), [np.asarray(x, "<i4").tobytes() for x in batch["ids"]], 0
+
+        def rows() -> pd.DataFrame:
+            packed = [(json.dumps([names[i] for i in own]), _fold([ids[i] for i in own])) for own in held.values()]
+            out = pd.DataFrame(
+                {"cell": list(held), "units": [pack.compress(u.encode()) for u, _ in packed], "ids": [pack.compress(x) for _, x in packed]}
+            )
+            held.clear()
+            return out
+
+        for i, cells in enumerate(batch["cells"]):
+            for cell in cells.tolist():
+                held.setdefault(cell, []).append(i)
+            n += len(cells)
+            if n > DEALT:
+                yield rows()
+                n = 0
+        if held:
+            yield rows()
+
+
+def _fold(parts: list[bytes]) -> bytes:
+    """The sizes of byte strings, then the strings."""
+    return np.fromiter(map(len, parts), "<u4", len(parts)).tobytes() + b"".join(parts)
+
+
+def _unfold(names: list[str], folded: bytes) -> Iterator[tuple[str, bytes]]:
+    ends = np.cumsum(np.frombuffer(folded, "<u4", len(names)), dtype=np.int64) + 4 * len(names)
+    begins = [4 * len(names), *ends[:-1].tolist()]
+    return ((name, folded[a:b]) for name, a, b in zip(names, begins, ends.tolist()))
 
 
 def decoder(path: str = MODEL):

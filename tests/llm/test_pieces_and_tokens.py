@@ -1,8 +1,11 @@
+import json
 import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from cohortspan.llm import sentence_pieces, token_files
@@ -83,6 +86,24 @@ def test_cells_do_not_matter(spark, monkeypatch, tmp_path):
     assert {r.doc_id: r.ids for r in sentence_pieces.encode(docs).collect()} == whole
 
 
+def test_units_are_sent_once_a_cell_and_come_back_packed(monkeypatch):
+    """However many cells a task sees and however much it has sent, and in fewer rows than there are units."""
+    words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    frames = [pd.DataFrame({"cell": [c] * 4, "text": [" ".join(words)] * 4}) for c in range(5)]
+    monkeypatch.setattr(sentence_pieces, "ROWS", 50)
+    monkeypatch.setattr(sentence_pieces, "SENT", 150)
+    sent = pd.concat(sentence_pieces._units_by_cell(sentence_pieces.MODEL)(iter(frames)))
+    assert len(sent) == 500 and not sent.duplicated().any()
+    rows = pd.DataFrame({"unit": ["a", "\n", "é日", "b"], "cells": [np.array(c) for c in ([1, 2], [2], [1], [3])], "ids": [np.array(x) for x in ([5], [6, 70000], [7, 8, 9], [])]})
+    for dealt in (100, 2):
+        monkeypatch.setattr(sentence_pieces, "DEALT", dealt)
+        found = pd.concat(sentence_pieces._by_cell(iter([rows])))
+        unpack = zstandard.ZstdDecompressor().decompress
+        back = {(c, u, tuple(np.frombuffer(x, "<i4").tolist())) for c, n, i in zip(found["cell"], found["units"], found["ids"]) for u, x in sentence_pieces._unfold(json.loads(unpack(n)), unpack(i))}
+        assert back == {(1, "a", (5,)), (2, "a", (5,)), (2, "\n", (6, 70000)), (1, "é日", (7, 8, 9)), (3, "b", ())}
+    assert len(found) <= 5
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_blocks_round_trip(seed):
     rng = np.random.default_rng(seed)
