@@ -9,7 +9,8 @@ A unit longer than usual is cut where no piece can lie across the cut, which lea
 longer then, such as a rule of thousands of equal signs, is folded where it lies.
 
 Documents do not move by word. A cell is a run of documents that lie together; it sends each different unit to
-the lattice once, gets its ids back, and is put together again with its compressed texts.
+the lattice once, gets its ids back, and is put together again with its compressed texts. As every space begins a
+unit, what lies between two spaces is looked at once for as long as a task remembers it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import count
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +37,11 @@ from cohortspan.llm.languages import batched
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Characters of a unit that goes through the lattice at most, once cut where no piece lies. Characters of the texts of a cell, about.
-LONGEST, CELL = 64, 8_000_000
+LONGEST, CELL = 64, 40_000_000
 #: Units that a task passes on at once, and long paths it remembers.
 ROWS, LONG_PATHS = 20_000, 1_000
-#: Characters of text that are compressed together, and units of a cell that a task remembers having sent.
-PACKED, SENT = 1_000_000, 600_000
+#: Characters of text that are compressed together, units of a cell that a task remembers having sent, and words.
+PACKED, SENT, WORDS = 1_000_000, 600_000, 300_000
 #: Units that a task deals out to cells at once, counted once for each cell.
 DEALT = 300_000
 #: Partitions of units for each one of the session's: a unit makes some fifty rows.
@@ -49,6 +52,8 @@ PER_PIECE = 1_000_000.0
 #: Bytes that stand for a character without a piece cost this much more each.
 PER_BYTE = 10_000_000.0
 
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_DIGESTED = pa.schema([(name, pa.int64()) for name in ("doc_id", "n_pieces", "ids_crc32", "text_crc32")])
 _UNIT = re.compile(rf"{SPACE}?[^\W_]+|{SPACE}?(?:[^\w{SPACE}]|_)+|{SPACE}")
 
 
@@ -105,16 +110,24 @@ def long_units(path: str) -> LongUnits:
     return _long_units[path]
 
 
-def units_of(text: str | None, path: str = MODEL) -> list[str]:
-    """The units of a text, which joined give it back, spaces marked and one put before it."""
-    if not text:
-        return []
-    units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
-    if max(map(len, units)) <= LONGEST:
+def _words(text: str) -> list[str]:
+    """What lies between the spaces of a text, whose units are those of these words."""
+    return text.replace(SPACE, " ").split(" ")
+
+
+def _units(words: Iterable[str], path: str) -> list[str]:
+    """The units of words, each of which has a space before it."""
+    units = _UNIT.findall("".join([SPACE + w for w in words]))
+    if max(map(len, units), default=0) <= LONGEST:
         return units
     return [part for u in units for part in (long_units(path).cut(u) if len(u) > LONGEST else [u])]
 
 
+def units_of(text: str | None, path: str = MODEL) -> list[str]:
+    """The units of a text, which joined give it back, spaces marked and one put before it."""
+    return _units(_words(text), path) if text else []
+
+
 def _pieces(model: sentencepiece.SentencePieceProcessor) -> list[tuple[str, int, float]]:
     return [
         (model.id_to_piece(i), i, model.get_score(i) - PER_PIECE)
@@ -140,7 +153,9 @@ def segment(units: DataFrame, pieces: DataFrame, byte_zero: int, most: int, also
     Of equal paths to a place the one whose last piece is shorter wins. Pieces have at most ``most`` characters.
     A character without a piece of its own can be spelled in bytes.
     """
-    keys = ["unit", *also]
+    # Rows of a unit are told apart by a number, which is compared before the unit is.
+    keys = ["number", "unit", *also]
+    units = units.select(F.monotonically_increasing_id().alias("number"), "unit", *also)
     starts = units.select(*keys, F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(most), F.length("unit") - F.col("start") + 1))
     spans = starts.select(*keys, "start", F.explode(lengths).alias("size"))
@@ -150,23 +165,31 @@ def segment(units: DataFrame, pieces: DataFrame, byte_zero: int, most: int, also
         spans.join(F.broadcast(pieces), "piece", "left")
         .where("id IS NOT NULL OR size = 1")
         .selectExpr(
-            *keys,
+            "number",
+            "unit",
+            # On one row of each unit, that of its first character.
+            *[f"if(start = 1 AND size = 1, {c}, NULL) AS {c}" for c in also],
             "start - 1 AS start",
             "start + size - 1 AS end",
             "id",
             f"coalesce(score, -{PER_BYTE}D * octet_length(piece)) AS score",
         )
     )
-    lattice = edges.groupBy(*keys).agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"))
-    # For each place from left to right the best way to it, and where that comes from; then back from the end.
-    reached = """
+    carried = [F.first(c, ignorenulls=True).alias(c) for c in also]
+    lattice = edges.groupBy("number", "unit").agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"), *carried)
+    keys = ["unit", *also]
+    # For each place from left to right the best way to it, and where that comes from; then back from the end. Edges are
+    # in the order of their ends, and each place has one, that of the character before it.
+    way = "named_struct('score', reached[e.start].score + e.score, 'start', e.start, 'id', e.id)"
+    reached = f"""
         aggregate(
-            sequence(1, length(unit)),
+            sort_array(edges),
             array(named_struct('score', 0D, 'start', 0, 'id', cast(NULL AS int))),
-            (reached, node) -> concat(reached, array(array_max(transform(
-                filter(edges, e -> e.end = node),
-                e -> named_struct('score', reached[e.start].score + e.score, 'start', e.start, 'id', e.id)
-            ))))
+            (reached, e) -> CASE
+                WHEN size(reached) = e.end THEN concat(reached, array({way}))
+                WHEN reached[e.start].score + e.score >= reached[e.end].score AND {way} > reached[e.end] THEN concat(slice(reached, 1, e.end), array({way}))
+                ELSE reached
+            END
         )"""
     spelled = "hex(encode(substring(unit, way.at, 1), 'UTF-8'))"
     spelled = f"transform(sequence(1, length({spelled}), 2), i -> int(conv(substring({spelled}, i, 2), 16, 10)) + {byte_zero})"
@@ -200,13 +223,17 @@ def _units_by_cell(path: str):
     """The different units of each cell, whose rows come together; one at a time is remembered."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, known = None, set()
+        at, known, words = None, set(), set()
         cells, units = [], []
         for batch in batches:
             for cell, text in zip(batch["cell"], batch["text"]):
                 if cell != at:
-                    at, known = cell, set()
-                fresh = set(units_of(text, path)).difference(known)
+                    at, known, words = cell, set(), set()
+                new = set(_words(text)).difference(words) if text else set()
+                if len(words) > WORDS:
+                    words.clear()
+                words.update(w for w in new if len(w) <= LONGEST)
+                fresh = set(_units(new, path)).difference(known)
                 known |= fresh
                 short = [u for u in fresh if len(u) <= LONGEST]
                 cells += [cell] * len(short)
@@ -235,28 +262,89 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at += len(part)
 
 
-def _assemble(path: str):
-    def work(key: tuple, docs: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor()
-        known: dict[str, bytes] = {}
-        for names, found in zip(units["units"], units["ids"]):
-            known.update(_unfold(json.loads(unpack.decompress(names)), unpack.decompress(found)))
-        doc_ids, out = [], []
-        for ids, packed in zip(docs["doc_ids"], docs["texts"]):
-            doc_ids += list(ids)
-            for text in json.loads(unpack.decompress(packed)):
-                found = units_of(text, path)
-                if text and any(len(u) > LONGEST for u in found):
-                    known.update((u, long_units(path).ids(u)) for u in found if len(u) > LONGEST)
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4"))
-        return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "ids": out})
+class CellIds:
+    """Ids of the texts of a cell from those of its units, which are held as arrays and found by their hashes.
+
+    A unit that is looked up is one of the cell's, so hashes need only tell these apart.
+    """
+
+    def __init__(self, rows: Iterable[tuple[bytes, bytes]], path: str):
+        """``rows`` are units and their ids as ``_by_cell`` packs them."""
+        self.path, self.spelled = path, {}
+        rows, unpack = list(rows), zstandard.ZstdDecompressor().decompress
+        for self.salt in count():
+            hashes, sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for names, found in rows:
+                names, ids = zip(*_unfold(json.loads(unpack(names)), unpack(found)))
+                hashes.append(self._hashes(names))
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+                flat.append(b"".join(ids))
+            hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+            order = np.argsort(hashes)
+            self.hashes = hashes[order]
+            if (self.hashes[1:] != self.hashes[:-1]).all():
+                break
+        self.starts, self.sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        self.flat = np.frombuffer(b"".join(flat), "<i4")
+
+    def _hashes(self, units: Sequence[str]) -> np.ndarray:
+        units = [(self.salt, u) for u in units] if self.salt else units
+        return np.fromiter(map(hash, units), np.int64, len(units))
+
+    def _of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units of usual length, and where each unit's end."""
+        at = np.searchsorted(self.hashes, self._hashes(units))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
+
+    def _learn(self, words: list[str]) -> None:
+        """Spell words shorter than ``LONGEST``. A unit that begins with a space begins a word."""
+        units = _units(words, self.path)
+        ids, ends = self._of_units(units)
+        last = np.array([u[0] == SPACE for u in units[1:]] + [True])
+        data, ends = ids.tobytes(), (4 * ends[last]).tolist()
+        self.spelled.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def _long(self, word: str) -> bytes:
+        parts = [long_units(self.path).ids(u) if len(u) > LONGEST else self._of_units([u])[0].tobytes() for u in _units([word], self.path)]
+        return b"".join(parts)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [_words(t) if t else [] for t in texts]
+        if len(self.spelled) > WORDS:
+            # What these texts use again stays, and with it the common words.
+            self.spelled = {w: self.spelled[w] for w in set().union(*split) & self.spelled.keys()}
+        new = set().union(*split).difference(self.spelled)
+        if short := [w for w in new if len(w) < LONGEST]:
+            self._learn(short)
+        long = {w: self._long(w) for w in new if len(w) >= LONGEST}
+        known = self.spelled | long if long else self.spelled
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def _assemble(path: str, digested: bool):
+    def work(docs: pa.Table, units: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        ids_of = CellIds(zip(units["units"].to_pylist(), units["ids"].to_pylist()), path)
+        made = digester(path) if digested else lambda batch: batch
+        parts = []
+        for own, packed in zip(docs["doc_ids"], docs["texts"]):
+            ids = ids_of(json.loads(unpack(packed.as_py())))
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            parts.append(made(pa.record_batch([own.values, lists], schema=_ENCODED)))
+        return pa.Table.from_batches(parts, _DIGESTED if digested else _ENCODED)
 
     return work
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, digested: bool = False) -> DataFrame:
     """doc_id and ids of every row. A null or empty text has no ids. Repeated rows are encoded each.
 
+    If ``digested``, what ``digests`` makes of these rows, made where they are: ids are then not passed on.
+
     A space before the text is added, as SentencePiece does; a U+2581 in a text is taken for a space.
     """
     spark = docs.sparkSession
@@ -269,7 +357,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     found = segment(units, pieces, first_byte(path), most, ("cells",))
     found = found.select("unit", "cells", "ids").mapInPandas(_by_cell, "cell long, units binary, ids binary")
     packed = celled.mapInPandas(_packed, "cell long, doc_ids array<long>, texts binary")
-    return packed.groupBy("cell").cogroup(found.groupBy("cell")).applyInPandas(_assemble(path), "doc_id long, ids array<int>")
+    columns = "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long" if digested else "doc_id long, ids array<int>"
+    return packed.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_assemble(path, digested), columns)
 
 
 def _by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,19 +425,29 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(work, "doc_id long, text string")
 
 
+def digester(path: str = MODEL):
+    """A function from batches of doc_id and ids to those of ``digests``."""
+    to_text = decoder(path)
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # Rows are cut out of the batch one at a time, as the ids of a batch are many.
+        ends, flat = batch.column("ids").offsets.to_numpy(), batch.column("ids").values.to_numpy()
+        sums, texts = [], []
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            sums.append(zlib.crc32(flat[a:b].astype("<u4").tobytes()))
+            texts.append(zlib.crc32(to_text(flat[a:b]).encode("utf-8", "surrogatepass")))
+        columns = [batch.column("doc_id"), np.diff(ends).astype(np.int64), np.array(sums, np.int64), np.array(texts, np.int64)]
+        return pa.record_batch(columns, schema=_DIGESTED)
+
+    return digest
+
+
 def digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 of the ids as little-endian unsigned 32-bit integers, and text_crc32 of the decoded text."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to_text = decoder(path)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = digester(path)
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_pieces": [len(x) for x in batch["ids"]],
-                    "ids_crc32": [zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in batch["ids"]],
-                    "text_crc32": [zlib.crc32(to_text(x).encode("utf-8", "surrogatepass")) for x in batch["ids"]],
-                }
-            )
+            yield digest(batch)
 
-    return encoded.mapInPandas(work, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long")
+    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long")

@@ -104,6 +104,35 @@ def test_units_are_sent_once_a_cell_and_come_back_packed(monkeypatch):
     assert len(found) <= 5
 
 
+def test_words_are_spelled_as_their_units(monkeypatch):
+    """Whatever is remembered of a cell's words, whatever its hashes do, and with long units among the words."""
+    texts = ["a b", None, "", " ", "  a  b ", "a▁b", "c.d, e\n\n f", "é" * 64 + " a", "=" * 200, "x" * 63, *["w%d, v%d" % (i, i % 7) for i in range(40)]]
+    known = {u: np.arange(1 + i % 3) + 10 * i for i, u in enumerate(sorted({u for t in texts for u in sentence_pieces.units_of(t)}))}
+    short = [u for u in known if len(u) <= sentence_pieces.LONGEST]
+    rows = pd.DataFrame({"unit": short, "cells": [np.array([1])] * len(short), "ids": [known[u] for u in short]})
+    packed = pd.concat(sentence_pieces._by_cell(iter([rows])))
+    longer = sentence_pieces.long_units(sentence_pieces.MODEL)
+    ids = {u: longer.ids(u) if len(u) > sentence_pieces.LONGEST else x.astype("<i4").tobytes() for u, x in known.items()}
+    expected = [b"".join(ids[u] for u in sentence_pieces.units_of(t)) for t in texts]
+    for words in (3, 10_000):
+        monkeypatch.setattr(sentence_pieces, "WORDS", words)
+        cell = sentence_pieces.CellIds(zip(packed["units"], packed["ids"]), sentence_pieces.MODEL)
+        assert [x for t in texts for x in cell([t])] == expected and cell(texts) == expected
+    hashes = sentence_pieces.CellIds._hashes
+    monkeypatch.setattr(sentence_pieces.CellIds, "_hashes", lambda self, units: hashes(self, units) if self.salt > 1 else np.zeros(len(units), np.int64))
+    cell = sentence_pieces.CellIds(zip(packed["units"], packed["ids"]), sentence_pieces.MODEL)
+    assert cell.salt == 2 and cell(texts) == expected
+
+
+def test_digests_are_made_where_the_ids_are(spark, odd):
+    """Equal to those of the encoded rows, and without a second pass of Python over them."""
+    digested = sentence_pieces.encode(odd, digested=True)
+    assert sorted(map(str, digested.collect())) == sorted(map(str, sentence_pieces.digests(sentence_pieces.encode(odd)).collect()))
+    assert digested._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapCoGroupsInArrow"
+    ids = (1 << 53) + 1
+    assert [r.doc_id for r in sentence_pieces.encode(documents(spark, {ids: "a"}).union(documents(spark, {2: "b"})), digested=True).orderBy("doc_id").collect()] == [2, ids]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_blocks_round_trip(seed):
     rng = np.random.default_rng(seed)
