@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspan.llm import decontamination
 from tests.llm.conftest import documents, with_clashes
@@ -71,6 +72,31 @@ def test_odd_documents(spark, odd, none):
     assert not any(r.contaminated for r in decontamination.contamination(odd, benchmark.limit(0)).collect())
 
 
+def test_repeated_rows_count_once_each_with_blocks(spark, odd, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 2)
+    items = [(1, "brown fox jumps"), (2, "lorem ipsum"), (None, "two texts"), (4, "word")]
+    found = decontamination.contamination(odd, spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = [(r.doc_id, *brute(r.text, items)) for r in odd.select("doc_id", "text").collect()]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+
+
+def test_words(spark):
+    texts = [None, "", " ", "...", "a", " a", "a ", "--A-b--", "a\x00b\x7fc\u0080d", "\r\nÉa Éb\u2028c\u00a0d", "\U0001f600x \U0001f600", "[`@{/:9^_Z"]
+    found = documents(spark, texts).select("doc_id", decontamination.words_of(F.col("text"))).collect()
+    assert {i: own for i, own in found} == {i: None if t is None else words(t) for i, t in enumerate(texts)}
+
+
+def test_words_are_split_not_extracted(spark):
+    plan = documents(spark, ["a"]).select(decontamination.words_of(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "regexp_extract" not in plan
+
+
+def test_texts_are_not_split_again_to_count_their_words(spark, odd):
+    benchmark = spark.createDataFrame([(1, "brown fox")], "item_id long, text string")
+    plan = decontamination.contamination(odd, benchmark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_words" in plan and "translate(" not in plan
+
+
 def test_proximity(spark):
     texts = ["beta x y alpha z gamma", "alpha " + "x " * 30 + "beta gamma", "gamma beta", "alpha beta gamma alpha beta gamma"]
     benchmark = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha missing gamma")], "item_id long, text string")
